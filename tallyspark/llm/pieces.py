@@ -18,6 +18,7 @@ those with the results' names are replaced; byte pieces that are no valid UTF-8
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -150,8 +151,8 @@ class Transducer:
         try:
             return b"".join([known[c] for c in cut])
         except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
+            if len(known) > MEMORY:  # the first are the frequent ones
+                self.parts = known = dict(itertools.islice(known.items(), MEMORY // 2))
             for c in cut:
                 if c not in known:
                     known[c] = np.array(self.compose(c), dtype="<u4").tobytes()

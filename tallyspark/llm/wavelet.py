@@ -11,9 +11,13 @@ in any order; extra columns are ignored; an empty table gives no file.
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -21,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import emit, prepare, stored, table
 
-MAGIC, STEP, FILE_TOKENS, FILE_DOCS = b"WVMX", 512, 4_000_000, 50_000
+MAGIC, STEP, FILE_TOKENS, FILE_DOCS = b"WVMX", 512, 2_000_000, 50_000
 #: A space between characters that aren't white space is where the byte-level pattern always starts a new token.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces between cuts that a worker remembers.
-MEMORY = 600_000
+MEMORY = 500_000
 _remembered: dict = {}
 
 
@@ -143,27 +147,50 @@ class Wavelet:
 def encoder(path: str):
     """text -> ids as bytes of unsigned 32-bit integers. Texts are cut where the pattern always cuts; each different piece is
     encoded once by the library and remembered."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core for each task
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    known = _remembered.setdefault(path, {})
+    heads, tails = _remembered.setdefault(path, ({}, {}))
+
+    def learn(known: dict, new: list[str], front: str) -> None:
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            for x, e in zip(part, tok.encode_batch_fast([front + x for x in part], add_special_tokens=False), strict=True):
+                known[x] = np.array(e.ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", e.ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         # if every white space is a single space or newline between words, each space is a cut
         cut = [t.split(" ") if len(t.split()) == t.count(" ") + t.count("\n") + 1 else CUT.split(t) for t in texts]
-        heads = {c[0] for c in cut}
-        new = [x for x in {" " + w for w in set().union(*(c[1:] for c in cut))} | heads if x not in known] if cut else []
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list({" " + w for w in set().union(*(c[1:] for c in cut))} | heads)
-        for k in range(0, len(new), 20_000):
-            for x, e in zip(new[k : k + 20_000], tok.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[c[0]], *[known[" " + w] for w in c[1:]]]) for c in cut]
+        first = [c.pop(0) for c in cut]
+        if len(heads) > MEMORY // 10:
+            heads.clear()
+        learn(heads, list({x for x in first if x not in heads}), "")
+        wanted = set().union(*cut)
+        new = [x for x in wanted if x not in tails]
+        if len(tails) + len(new) > MEMORY:  # the first are the frequent ones
+            some = dict(itertools.islice(tails.items(), MEMORY // 2))
+            tails.clear()
+            tails.update(some)
+            new = [x for x in wanted if x not in tails]
+        learn(tails, new, " ")
+        return [b"".join([heads[x], *[tails[w] for w in c]]) for x, c in zip(first, cut, strict=True)]
 
     return encode
 
 
+def strips(texts: list[str], limit: int = 1_000_000):
+    """Slices of texts with about `limit` characters each."""
+    a = n = 0
+    for k, t in enumerate(texts):
+        n += len(t)
+        if n >= limit:
+            yield slice(a, k + 1)
+            a, n = k + 1, 0
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
 def write_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, file_tokens: int = FILE_TOKENS, partitions: int | None = None) -> DataFrame:
     """file_id (ascending with doc_id), n_tokens, doc_ids, lengths, blob: one row a file, stored."""
     prepare(docs.sparkSession)
@@ -184,7 +211,8 @@ def write_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
                 return {"file_id": [part << 32 | seq], "n_tokens": [len(x)], "doc_ids": [names], "lengths": [sizes], "blob": [Wavelet.build(x)]}
 
             for b in batches:
-                for name, ids in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
+                ids_of, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for name, ids in ((x, y) for k in strips(texts) for x, y in zip(ids_of[k], encode(texts[k]), strict=True)):
                     names.append(name)
                     parts += [ids, end]
                     sizes.append(len(ids) // 4 + 1)
