@@ -15,9 +15,7 @@ import itertools
 import os
 import re
 import struct
-import sys
 import zlib
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -29,7 +27,7 @@ MAGIC, STEP, FILE_TOKENS, FILE_DOCS = b"WVMX", 512, 2_000_000, 50_000
 #: A space between characters that aren't white space is where the byte-level pattern always starts a new token.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces between cuts that a worker remembers.
-MEMORY = 500_000
+MEMORY = 1_000_000
 _remembered: dict = {}
 
 
@@ -153,11 +151,23 @@ def encoder(path: str):
     tok = Tokenizer.from_file(path)
     heads, tails = _remembered.setdefault(path, ({}, {}))
 
+    sizes = np.array([len(tok.id_to_token(k) or "") for k in range(tok.get_vocab_size())])  # a character for each byte
+
     def learn(known: dict, new: list[str], front: str) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for x, e in zip(part, tok.encode_batch_fast([front + x for x in part], add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", e.ids).tobytes()
+        apart = [x for x in new if not front or x[-1:].isspace() or not x]
+        for x, e in zip(apart, tok.encode_batch_fast([front + x for x in apart], add_special_tokens=False), strict=True):
+            known[x] = np.array(e.ids, "<u4").tobytes()
+        joint = [x for x in new if front and not (x[-1:].isspace() or not x)]
+        for k in range(0, len(joint), 20_000):  # pieces in a row: no token crosses their borders
+            part = joint[k : k + 20_000]
+            ids = np.array(tok.encode_batch_fast([front + front.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) + len(front) for x in part])) + 1
+            raw, at = ids.tobytes(), 0
+            for x, e in zip(part, (4 * ends).tolist(), strict=True):
+                known[x] = raw[at:e]
+                at = e
+            if at != len(raw):
+                raise ValueError("the tokenizer isn't byte-level")
 
     def encode(texts: list[str]) -> list[bytes]:
         # if every white space is a single space or newline between words, each space is a cut
@@ -169,7 +179,7 @@ def encoder(path: str):
         wanted = set().union(*cut)
         new = [x for x in wanted if x not in tails]
         if len(tails) + len(new) > MEMORY:  # the first are the frequent ones
-            some = dict(itertools.islice(tails.items(), MEMORY // 2))
+            some = dict(itertools.islice(tails.items(), MEMORY * 6 // 10))
             tails.clear()
             tails.update(some)
             new = [x for x in wanted if x not in tails]
