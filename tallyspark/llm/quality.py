@@ -124,12 +124,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def make():
         def run(batches):
             for b in batches:
-                yield {"doc_id": b.column(0), "grade": b.column(2), "spots": [sorted({spot(x) for x in tokens(t or b"")}) for t in b.column(1).to_pylist()]}
+                yield {"doc_id": b.column(0), "grade": b.column(2), "spots": [np.unique(np.fromiter(map(spot, tokens(t or b"")), dtype="<i4")).tobytes() for t in b.column(1).to_pylist()]}
 
         return run
 
-    got = emit(met, "doc_id long, grade int, spots array<int>", make).orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "spots").limit(rows).collect()
-    return fit([np.array(r["spots"], dtype=np.int64) for r in got], np.array([r["grade"] for r in got], dtype=np.int64))
+    got = emit(met, "doc_id long, grade int, spots binary", make).orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "spots").limit(rows).collect()
+    return fit([np.frombuffer(r["spots"], "<i4") for r in got], np.array([r["grade"] for r in got], dtype=np.int64))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
