@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import emit, prepare, skew_join, stored, table
 
-CHUNKS, WIDE, ERRORS, BLOCK = 10, 5, 1, 1000
+CHUNKS, WIDE, ERRORS, BLOCK = 10, 5, 1, 300
 SYMBOLS = CHUNKS * WIDE
 #: Pairs at 0.8 differ in 10 of 50 symbols on average; more than 26 has a probability of under 1e-6.
 FAR = 26
@@ -171,11 +171,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for b in batches:
                 keep = []
                 for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (len(both) - common):
+                    if _alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                         keep.append(k)
                 yield {"a": b.column(0).to_numpy()[keep], "b": b.column(1).to_numpy()[keep]}
 
@@ -184,6 +180,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return emit(met.select("a", "b", "sa", "sb"), "a long, b long", make)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _searched(percent: int):
+    """Links between different components of a block, checked on the full sets; a pair whose components a link of the block
+    joins already needs none, so a block gives fewer links than it has components."""
+
+    def run(batches):
+        for b in batches:
+            for inner, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sig = np.frombuffer(b"".join([r["sig"] for r in rows]), "<u2").reshape(-1, SYMBOLS)
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+                own = np.array([r["own"] for r in rows])
+                c = np.array([r["component"] for r in rows], dtype=np.int64)
+                found: list[tuple[int, int]] = []
+                for k in range(len(rows) - 1):
+                    # blocks of different numbers: only pairs across them
+                    at = k + 1 + np.flatnonzero((c[k + 1 :] != c[k]) & ((own[k + 1 :] != own[k]) | inner))
+                    for j in at[(sig[at] != sig[k]).sum(axis=1) <= FAR].tolist():
+                        if c[j] != c[k] and _alike(sets[k], sets[j], percent):
+                            c[c == c[j]] = c[k]
+                            found.append((rows[k]["id"], rows[j]["id"]))
+                yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of links (a, b). Every round each node moves to its smallest
     neighbour and links contract, so rounds grow with the logarithm of the size."""
@@ -239,32 +266,23 @@ def groups(docs: DataFrame, width: int = 2, percent: int = 80, doc_id: str = "do
     label = first.select(F.col("node").alias("id"), "component")
     many = stored(many.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "large")
     open_ = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = many.join(open_, "key").join(sigs, "id")
+    left = skew_join(many, stored(open_, "open"), "key")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(F.collect_list(F.struct("id", "component", "own", "sig")).alias("rows"))
-
-    def make():
-        def run(batches):
-            for b in batches:
-                for rows_, p, q in zip(*(b.column(k).to_pylist() for k in (2, 0, 1)), strict=True):
-                    sig = np.frombuffer(b"".join([r["sig"] for r in rows_]), "<u2").reshape(-1, SYMBOLS)
-                    i, c, o = (np.array([r[k] for r in rows_], dtype=np.int64) for k in ("id", "component", "own"))
-                    for k in range(len(rows_) - 1):
-                        # blocks of different numbers: only pairs across them
-                        at = k + 1 + np.flatnonzero((c[k + 1 :] != c[k]) & ((o[k + 1 :] != o[k]) | (p == q)))
-                        at = at[(sig[at] != sig[k]).sum(axis=1) <= FAR]
-                        if len(at):
-                            yield {"a": np.minimum(i[k], i[at]), "b": np.maximum(i[k], i[at])}
-
-        return run
-
-    more = stored(emit(dealt.select("p", "q", "rows"), "a long, b long", make).distinct().join(near, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        sets = stored(_sets(docs, stored(ids(more), "ids"), width), "sets")
-        links = links.unionByName(_confirmed(more, sets, percent))
-        first = components(links)
+    dealt = dealt.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(F.array_sort(F.collect_list(F.struct("id", "component", "own"))).alias("rows"))
+    # many buckets hold the same classes; a block of one component has nothing to find
+    blocks = stored(dealt.select((F.col("p") == F.col("q")).alias("inner"), "rows").where(F.size("rows") > 1).distinct().withColumn("block", F.sha2(F.to_json(F.struct("inner", "rows")), 256)), "blocks")
+    members = stored(blocks.select("block", "inner", F.explode("rows").alias("r")).select("block", "inner", "r.*"), "members")
+    if not members.isEmpty():
+        sets = stored(_sets(docs, stored(members.select("id").distinct(), "ids"), width).join(sigs, "id"), "sets")
+        full = skew_join(members, sets, "id").groupBy("block", "inner").agg(F.collect_list(F.struct("id", "component", "own", "sig", "shingles")).alias("rows"))
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        try:
+            more = stored(emit(full.select("inner", "rows"), "a long, b long", lambda: _searched(percent)).distinct(), "more")
+        finally:
+            prepare(docs.sparkSession)
+        first = components(links.unionByName(more))
     told = classes.join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("same", "id", F.coalesce("component", "id").alias("component_id"))
     told = stored(told.where(F.col("id").isNotNull()).select("same", "component_id"), "told")
     out = skew_join(every.where(F.col("same").isNotNull()), told, "same", "left").select("doc_id", "n_shingles", "component_id")
