@@ -11,6 +11,8 @@ weight reaches every place. For a unigram model, arcs weigh minus their score an
 
 Pieces with U+2581 inside don't occur, so no arc crosses the border before a space that follows another character: the input
 is cut there, and each different part is composed once in a worker. compile_model checks this, and else doesn't cut.
+Short parts of a batch are composed together: their arcs are found by one walk of all starts through a trie, and the acceptor
+takes one place of all parts at a time.
 
 Defined results: a null text is empty, and an empty text has no ids; equal rows get equal results; extra columns are kept, and
 those with the results' names are replaced; byte pieces that are no valid UTF-8 decode to U+FFFD.
@@ -23,6 +25,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ from .common import append, field, long, prepare, table
 
 SPACE = "▁"
 MEMORY = 500_000
+#: Longest part that is composed together with others, characters of texts that are encoded together, and cached pairs.
+SHORT, TOGETHER, CACHE = 64, 2_000_000, 1 << 21
+CODES = 0x110000
 
 
 def fields(data: bytes):
@@ -85,6 +91,7 @@ class Transducer:
         self.output[self.unknown] = " ⁇ ".encode()
         self.pairs: dict = {}
         self.parts: dict = {}
+        self.n, self.slots = n, None
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by score, leftmost first, makes of a few characters."""
@@ -131,6 +138,133 @@ class Transducer:
             n -= len(x)
         return out[::-1]
 
+    def _trie(self) -> None:
+        """Arrays for composing many parts: character classes, the trie of pieces as a hash table, and a cache of pairs."""
+        n = self.n
+        self.names = dict(zip(self.arcs.values(), self.arcs, strict=True))
+        letters = sorted({c for x in self.arcs for c in x})
+        self.classes = np.zeros(CODES, dtype=np.int64)
+        self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.single = np.arange(n, n + CODES, dtype=np.int64)  # the piece of a character, or n + its code
+        one = [x for x in self.arcs if len(x) == 1]
+        self.single[[ord(x) for x in one]] = [self.arcs[x] for x in one]
+        self.width = len(letters) + 1
+        steps, ends, place = {}, [-1], {c: k + 1 for k, c in enumerate(letters)}
+        for x, piece in self.arcs.items():
+            node = 0
+            for c in x:
+                key = node * self.width + place[c]
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                node = steps[key]
+            ends[node] = piece
+        self.ends = np.array(ends, dtype=np.int64)
+        self.lengths = np.ones(n + CODES + 1, dtype=np.int64)
+        self.lengths[list(self.names)] = [len(x) for x in self.names.values()]
+        self.shift = np.uint64(64 - max(10, (4 * len(steps)).bit_length()))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64)
+        self.targets = np.zeros(len(self.slots), dtype=np.int64)
+        keys, values = np.array(list(steps), dtype=np.int64), np.array(list(steps.values()), dtype=np.int64)
+        for at, key, value in zip(self._slot(keys, self.shift).tolist(), keys.tolist(), values.tolist(), strict=True):
+            while self.slots[at] != -1:
+                at = (at + 1) % len(self.slots)
+            self.slots[at], self.targets[at] = key, value
+        self.cached, self.verdict = np.full(CACHE, -1, dtype=np.int64), np.zeros(CACHE, dtype=bool)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+    def _step(self, nodes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The trie's next nodes, or -1."""
+        keys = nodes * self.width + classes
+        at = self._slot(keys, self.shift)
+        held = self.slots[at]
+        out = np.where(held == keys, self.targets[at], -1)
+        todo = np.flatnonzero((held != keys) & (held != -1))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % len(self.slots)
+            held = self.slots[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.targets[at[todo[hit]]]
+            todo = todo[~hit & (held != -1)]
+        return out
+
+    def _name(self, x: int) -> str:
+        return self.names[x] if x in self.names else chr(x - self.n) if x < self.n + CODES else ""
+
+    def _pass(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """The bigram acceptor for arrays; n + CODES is the start."""
+        keys = before * self.n + pieces
+        at = self._slot(keys, np.uint64(64 - CACHE.bit_length() + 1))
+        ok = self.verdict[at]
+        new = np.flatnonzero(self.cached[at] != keys)
+        if len(new):
+            some, back = np.unique(keys[new], return_inverse=True)
+            found = []
+            for key in some.tolist():
+                found.append(self.passes(self._name(key // self.n), self._name(key % self.n)))
+            found = np.array(found)[back.ravel()]
+            ok[new] = found
+            self.cached[at[new]] = keys[new]
+            # of two keys of a slot the one that stays gives the verdict
+            stays = self.cached[at[new]] == keys[new]
+            self.verdict[at[new[stays]]] = found[stays]
+        return ok
+
+    def compose_many(self, parts: list[str]) -> list[bytes]:
+        """compose() of each part, as unsigned 32-bit integers."""
+        if self.slots is None:
+            self._trie()
+        n = self.n
+        size = np.array([len(x) for x in parts], dtype=np.int64)
+        code = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").astype(np.int64)
+        start = np.cumsum(size) - size
+        stop, first = np.repeat(start + size, size), np.repeat(start, size)
+        classes = self.classes[code]
+        at, node, got = np.arange(len(code)), np.zeros(len(code), dtype=np.int64), []
+        for k in range(self.longest):
+            node = self._step(node, classes[at + k])
+            live = node >= 0
+            at, node = at[live], node[live]
+            piece = self.ends[node]
+            is_end = piece >= 0
+            got.append((at[is_end], np.full(int(is_end.sum()), k + 1), piece[is_end]))
+            live = at + k + 1 < stop[at]
+            at, node = at[live], node[live]
+        a, k, piece = (np.concatenate(x) for x in zip(*got, strict=True))
+        place = a + k - first[a]  # within the part
+        order = np.argsort(place, kind="stable")  # at a place the longest comes last
+        a, k, piece = a[order], k[order], piece[order]
+        border = np.searchsorted(place[order], np.arange(size.max() + 2))
+        last = np.full(len(code), -1, dtype=np.int64)  # by last character
+        for e in range(1, int(size.max()) + 1):
+            here = slice(border[e], border[e + 1])
+            x, y = a[here], piece[here]
+            before = np.where(x == first[x], n + CODES, last[x - 1])
+            ok = self._pass(before, y)
+            last[x[ok] + k[here][ok] - 1] = y[ok]
+            rest = start[size >= e] + e - 1
+            rest = rest[last[rest] < 0]
+            last[rest] = self.single[code[rest]]
+        on, pos = np.zeros(len(code), dtype=bool), start + size - 1
+        low = start
+        while len(pos):
+            on[pos] = True
+            pos = pos - self.lengths[last[pos]]
+            more = pos >= low
+            pos, low = pos[more], low[more]
+        made = np.cumsum(np.concatenate([[0], on]))
+        ids = last[on]
+        cut = made[np.concatenate([start, [len(code)]])].tolist()
+        data = ids.astype("<u4").tobytes()
+        out = [data[4 * x : 4 * y] for x, y in itertools.pairwise(cut)]
+        for j in np.unique(np.searchsorted(cut, np.flatnonzero(ids >= n), "right") - 1).tolist():
+            bytes_of = lambda x: [self.bytes[b] for b in chr(x - n).encode()] if self.bytes else [self.unknown]
+            out[j] = np.array([i for x in ids[cut[j] : cut[j + 1]].tolist() for i in ([x] if x < n else bytes_of(x))], dtype="<u4").tobytes()
+        return out
+
     def normalise(self, text: str) -> str:
         return (SPACE if self.front and text else "") + text.replace(" ", SPACE)
 
@@ -139,24 +273,42 @@ class Transducer:
 
     def encoded(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known = self.parts
+        return self.encoded_many([text])[0]
+
+    def _cut(self, text: str) -> list[str]:
         # cut before each run of spaces; "x y" has parts "x" and " y"
+        if not text:
+            return []
         if self.cuts and self.front and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
-            cut = [SPACE + w for w in text.split(" ")]
-        else:
-            parts = self.normalise(text)
-            cut = [c for c in CUT.split(parts) if c] if self.cuts else [parts]
-        try:
-            return b"".join([known[c] for c in cut])
-        except KeyError:
-            if len(known) > MEMORY:  # the first are the frequent ones
-                self.parts = known = dict(itertools.islice(known.items(), MEMORY // 2))
-            for c in cut:
-                if c not in known:
-                    known[c] = np.array(self.compose(c), dtype="<u4").tobytes()
-            return b"".join([known[c] for c in cut])
+            return [SPACE + w for w in text.split(" ")]
+        whole = self.normalise(text)
+        return [c for c in CUT.split(whole) if c] if self.cuts else [whole]
+
+    def encoded_many(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as unsigned 32-bit integers."""
+        out: list[bytes] = []
+        a = 0
+        while a < len(texts):
+            e, room = a + 1, TOGETHER - len(texts[a])
+            while e < len(texts) and len(texts[e]) <= room:
+                room -= len(texts[e])
+                e += 1
+            out += self._encoded([self._cut(x) for x in texts[a:e]])
+            a = e
+        return out
+
+    def _encoded(self, cuts: list[list[str]]) -> list[bytes]:
+        known = self.parts
+        if len(known) > MEMORY:  # the first are the frequent ones
+            self.parts = known = dict(itertools.islice(known.items(), MEMORY // 2))
+        new = [c for c in dict.fromkeys(itertools.chain.from_iterable(cuts)) if c not in known]
+        short = [c for c in new if len(c) <= SHORT] if self.merges else []
+        if short:
+            known.update(zip(short, self.compose_many(short), strict=True))
+        for c in new:
+            if c not in known:
+                known[c] = np.array(self.compose(c), dtype="<u4").tobytes()
+        return [b"".join([known[c] for c in cut]) for cut in cuts]
 
     def decode(self, ids: list[int]) -> str:
         out = self.output
@@ -181,7 +333,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
 
     def make():
         t = compile_model(model)
-        return lambda b: {ids: [np.frombuffer(t.encoded(x or ""), "<u4").view("<i4") for x in b.column(b.schema.names.index(text)).to_pylist()]}
+
+        def run(b):
+            made = t.encoded_many([x or "" for x in b.column(b.schema.names.index(text)).to_pylist()])
+            at = np.cumsum([0, *(len(x) // 4 for x in made)]).astype("<i4")
+            return {ids: pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), "<i4")))}
+
+        return run
 
     return append(docs, [field(ids, "array<int>")], make)
 
