@@ -95,13 +95,17 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by score, leftmost first, makes of a few characters."""
-        parts = list(text)
-        while True:
-            found = [(-self.score[x], k) for k in range(len(parts) - 1) if (x := parts[k] + parts[k + 1]) in self.score]
-            if not found:
-                return parts
-            k = min(found)[1]
+        parts, score, none = list(text), self.score, float("-inf")
+        weights = [score.get(x + y, none) for x, y in itertools.pairwise(parts)]
+        while weights and (best := max(weights)) > none:
+            k = weights.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del weights[k]
+            if k:
+                weights[k - 1] = score.get(parts[k - 1] + parts[k], none)
+            if k < len(weights):
+                weights[k] = score.get(parts[k] + parts[k + 1], none)
+        return parts
 
     def passes(self, a: str, b: str) -> bool:
         """The bigram acceptor; a is empty at the start."""
@@ -301,14 +305,14 @@ class Transducer:
         known = self.parts
         if len(known) > MEMORY:  # the first are the frequent ones
             self.parts = known = dict(itertools.islice(known.items(), MEMORY // 2))
-        new = [c for c in dict.fromkeys(itertools.chain.from_iterable(cuts)) if c not in known]
+        new = set(itertools.chain.from_iterable(cuts)).difference(known)
         short = [c for c in new if len(c) <= SHORT] if self.merges else []
         if short:
             known.update(zip(short, self.compose_many(short), strict=True))
         for c in new:
             if c not in known:
                 known[c] = np.array(self.compose(c), dtype="<u4").tobytes()
-        return [b"".join([known[c] for c in cut]) for cut in cuts]
+        return [b"".join(map(known.__getitem__, cut)) for cut in cuts]
 
     def decode(self, ids: list[int]) -> str:
         out = self.output
@@ -350,7 +354,13 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded")
 
     def make():
         t = compile_model(model)
-        return lambda b: {text: [t.decode(x or []) for x in b.column(b.schema.names.index(ids)).to_pylist()]}
+
+        def run(b):
+            x = b.column(b.schema.names.index(ids))
+            at, flat = x.offsets.to_pylist(), x.values.to_numpy(zero_copy_only=False).tolist()
+            return {text: [t.decode(flat[a:e] if e > a else []) for a, e in itertools.pairwise(at)]}
+
+        return run
 
     return append(docs, [field(text, "string")], make)
 
