@@ -216,3 +216,17 @@ def test_licenses(spark, odd, none):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
     assert got[1]["licenses"] == ["Apache-2.0"] and got[1]["inherited"] == "MIT" and got[3]["inherited_from"] == "a" and got[3]["licenses"] == [] and got[4]["inherited"] is None and got[5]["inherited"] is None
     assert licenses.scan(none.withColumn("path", none["source"])).count() == 0
+
+
+def test_pieces_composed_together():
+    """Parts composed together, alone, and by the library give the same ids."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, t, r = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path), random.Random(5)
+    some = ["", " ", "  a  b ", "x" * 300, "né 漢字 \U0001f600 a▁b", "a\tb\nc"] + ["".join(r.choice("abst  eé漢\U0001f600▁\n") for _ in range(r.randrange(90))) for _ in range(1500)]
+    for text, got in zip(some, t.encoded_many(some), strict=True):
+        want = sp.encode(text)
+        assert np.frombuffer(got, "<u4").tolist() == want
+        assert [i for part in t._cut(text) for i in t.compose(part)] == want
