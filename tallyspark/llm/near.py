@@ -93,7 +93,7 @@ def _bitmap(values: DataFrame, column: str):
     v = F.col(column) + 1
     got = values.select(F.bitmap_bucket_number(v).alias("b"), F.bitmap_bit_position(v).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     bits = np.zeros(1 << BITS >> 3, dtype=np.uint8)
-    for r in got.toLocalIterator():
+    for r in got.collect():  # at most 2**BITS / 32768 rows of 4 KB
         a = (r["b"] - 1) * 4096
         bits[a : a + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)[: len(bits) - a]
     return bits
