@@ -230,3 +230,19 @@ def test_pieces_composed_together():
         want = sp.encode(text)
         assert np.frombuffer(got, "<u4").tolist() == want
         assert [i for part in t._cut(text) for i in t.compose(part)] == want
+
+
+def test_licenses_of_real_files(spark):
+    """Full licence texts, with a holder or wrapped anew, are licence files whose licence the files beside and below inherit."""
+    full = {n: x[0] for n, x in licenses.full_texts().items()}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "ISC", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "MPL-2.0"} <= set(full)
+    rows = []
+    for n, x in full.items():
+        rows += [(f"{n}/LICENSE", "Copyright (c) 2019 Jane Roe and contributors\n\n" + x), (f"{n}/wrapped/LICENSE", "\n".join(x.split())), (f"{n}/src/a.py", "print(1)")]
+    rows += [("none/a.py", "print(1)"), ("none/LICENSE", "the license of the work and of any " * 400)]
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert all(got[f"{n}/{f}"]["file_license"] == n for n in full for f in ("LICENSE", "wrapped/LICENSE"))
+    assert all((got[f"{n}/src/a.py"]["inherited"], got[f"{n}/src/a.py"]["inherited_from"]) == (n, n) for n in full)
+    assert got["none/a.py"]["inherited"] is None and got["none/LICENSE"]["file_license"] is None
+    own = licenses.scan(spark.createDataFrame(rows, "path string, text string"), templates={"X": ["one two three"]}).collect()
+    assert all(r["file_license"] is None for r in own)
