@@ -170,8 +170,9 @@ def encoder(path: str):
                 raise ValueError("the tokenizer isn't byte-level")
 
     def encode(texts: list[str]) -> list[bytes]:
-        # if every white space is a single space or newline between words, each space is a cut
-        cut = [t.split(" ") if len(t.split()) == t.count(" ") + t.count("\n") + 1 else CUT.split(t) for t in texts]
+        # if every white space is a single space or newline between words, each space is a cut; the words joined again by single
+        # spaces are the text only then
+        cut = [t.split(" ") if " ".join(t.split()) == t.replace("\n", " ") else CUT.split(t) for t in texts]
         first = [c.pop(0) for c in cut]
         if len(heads) > MEMORY // 10:
             heads.clear()

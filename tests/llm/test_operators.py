@@ -246,3 +246,16 @@ def test_licenses_of_real_files(spark):
     assert got["none/a.py"]["inherited"] is None and got["none/LICENSE"]["file_license"] is None
     own = licenses.scan(spark.createDataFrame(rows, "path string, text string"), templates={"X": ["one two three"]}).collect()
     assert all(r["file_license"] is None for r in own)
+
+
+def test_wavelet_gaps_of_other_white_space():
+    """Tabs, CR and no-break spaces in one gap don't make up for several spaces in another."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(9)
+    tok, enc = Tokenizer.from_file(path), wavelet.encoder(path)
+    some = ["le mot" + " \u00a0 \u00a0 " + "dit\u00a0: non\u00a0!", "a  b\tc", " a\rb", "a\u2003b c ", "", " ", "a\nb c"]
+    some += ["".join(r.choice(["mot", "a", "é", ".", " ", " ", "\u00a0", "\t", "\r", "\n", "\u2003", "\x85", "\x1c"]) for _ in range(24)) for _ in range(4000)]
+    for t, got in zip(some, enc(some), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
