@@ -123,7 +123,7 @@ def _stream_board(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _generated(spark: SparkSession, d: str) -> DataFrame:
-    return generate.visits(spark, table(spark, d, "pages").select("url").distinct(), 100_000)
+    return generate.visits(spark, table(spark, d, "pages").select("url").distinct(), _events(spark, d).count())
 
 
 QUERIES = {

@@ -55,3 +55,16 @@ def test_generator_does_not_depend_on_partitions(spark):
     uris = spark.createDataFrame([("https://a.example/x",), ("https://a.example/y",)], "uri string")
     one, two = (sorted(map(tuple, generate.visits(spark, uris, "1_000", 7, p).collect())) for p in (1, 5))
     assert one == two and len(one) == 1000
+
+
+def test_generator_draws_every_uri(spark):
+    from tallyspark.sources import generate
+
+    uris = spark.range(100_500).select(F.format_string("https://a.example/%07d", "id").alias("uri"))
+    places = generate.numbered(uris).where("url <> format_string('https://a.example/%07d', k)")
+    assert places.count() == 0
+    log = generate.visits(spark, uris, 1_200_000, 7)
+    assert log.count() == 1_200_000
+    last = log.where("url >= 'https://a.example/0100000'").select("url").distinct().count()
+    assert last > 490
+    assert catalog.QUERIES["generate_visits"](spark, D).count() == spark.read.parquet(f"{D}/events.parquet").count()
