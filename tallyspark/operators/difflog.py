@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def added_rows(diffs: DataFrame, line: str = "line") -> DataFrame:
     """The other columns with branch and secs of each added line: semicolons count as commas; blank, header and short lines go."""
-    body = F.replace(F.substring(F.col(line), 2, 1 << 20), F.lit(";"), F.lit(","))
+    body = F.replace(F.substr(F.col(line), F.lit(2)), F.lit(";"), F.lit(","))
     text = diffs.where(F.col(line).startswith("+") & ~F.col(line).startswith("+++")).withColumn("_body", body)
     parts = text.where((F.col("_body") != "") & (F.col("_body") != "0") & ~F.col("_body").startswith("entry_date,")).withColumn("_parts", F.split("_body", ","))
     other = [c for c in diffs.columns if c != line]

@@ -68,3 +68,11 @@ def test_generator_draws_every_uri(spark):
     last = log.where("url >= 'https://a.example/0100000'").select("url").distinct().count()
     assert last > 490
     assert catalog.QUERIES["generate_visits"](spark, D).count() == spark.read.parquet(f"{D}/events.parquet").count()
+
+
+def test_long_added_lines_are_whole(spark):
+    from tallyspark.operators import difflog
+
+    long = "x" * (1 << 20)
+    rows = spark.createDataFrame([(f"+{long},{long}y,2.5",), ("+a;b;1.5",)], "line string")
+    assert sorted(map(tuple, difflog.added_rows(rows).collect())) == [("b", 1.5), (long + "y", 2.5)]
