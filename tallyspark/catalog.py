@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from .plans import oracle
 from .plans.inputs import boards, runs, table
 from .plans.inputs import visits as visit_rows
 from .sources import files, generate
+from .store import folder
 from .streaming import visits as streams
 
 EXCLUDED = ("1", "2")
@@ -86,17 +85,9 @@ def _validate(spark: SparkSession, d: str) -> DataFrame:
     return validate.diff(counted(v), counted(v.where("event_id % 997 <> 0")))
 
 
-def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder in the place that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import uuid
-
-    return f"{(root or tempfile.mkdtemp()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _scan_board(spark: SparkSession, d: str) -> DataFrame:
     base, _ = boards(spark, d)
-    path = _folder(spark, "board")
+    path = folder(spark, "board")
     files.write_board(base.select(F.unix_timestamp(F.col("first_ts").cast("timestamp")).alias("entry_date"), F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("branch_name"), F.col("secs").alias("time")), path)
     return files.board(spark, path).select("branch_name", "time")
 
@@ -107,18 +98,18 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    path, name = _folder(spark, "visits"), "daily_" + _folder(spark, "x")[-32:]
+    path, name = folder(spark, "visits"), "daily_" + folder(spark, "x")[-32:]
     visit_rows(spark, d).select("url", "day").repartition(3).write.parquet(path)
     stream = spark.readStream.schema("url string, day date").option("maxFilesPerTrigger", 1).parquet(path)
-    streams.run_daily(stream, name, _folder(spark, "stream")).awaitTermination()
+    streams.run_daily(stream, name, folder(spark, "stream")).awaitTermination()
     return streams.daily_result(spark, name)
 
 
 def _stream_board(spark: SparkSession, d: str) -> DataFrame:
-    path, out = _folder(spark, "results"), _folder(spark, "versions")
+    path, out = folder(spark, "results"), folder(spark, "versions")
     _events(spark, d).where("value > 0").select("user_id", F.col("ts").alias("entry_ts"), F.col("value").alias("secs")).repartition(3).write.parquet(path)
     stream = spark.readStream.schema("user_id long, entry_ts timestamp_ntz, secs double").option("maxFilesPerTrigger", 1).parquet(path)
-    streams.run_board(stream, out, "user_id", _folder(spark, "stream")).awaitTermination()
+    streams.run_board(stream, out, "user_id", folder(spark, "stream")).awaitTermination()
     return streams.last_version(spark, out.removeprefix("file://")).select("user_id", "secs")
 
 

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import stored
+from ..store import stored
 
 POOL, SECONDS = 10_000, 5 * 365 * 86_400
 #: Dimensions of at most so many URIs are broadcast.
