@@ -2,47 +2,98 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..store import shared_dir, stored  # noqa: F401
+
 #: Rows in one Arrow batch: whole texts travel, so batches are kept short.
 BATCH_ROWS = 500
 #: A key is hot if it holds over 1/HOT_SHARE of the rows; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 200
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of words in lower case; 0 for white space (0x20, 0x09 to 0x0D), which parts words.
+IN_WORD = np.array([0 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint16)
+IN_WORD[0] = 256
+#: Bytes of text whose words are hashed together.
+SLICE = 1 << 20
+_random = np.random.default_rng(20240611)
+_BYTE = _random.integers(0, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_power = np.ones(1, dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tallyspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def trimmed() -> None:
+    """Gives a worker's free memory back: workers stay for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie one after another, and each text's number of words. A hash is a sum of the
+    bytes' random values times powers of an odd factor, mixed with the length."""
+    global _power
+    x = IN_WORD[data]
+    inside = x != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = ends[(ends > 0) & (ends < len(x))]  # words don't run on from text to text
+    first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.empty(0, np.uint64), counts
+    sizes = stops - starts
+    longest = int(sizes.max())
+    while len(_power) < longest:
+        _power = np.concatenate([_power, _power * (_power[-1:] * MIX)])
+    at = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+    sums = np.add.reduceat(_BYTE[x[inside]] * _power[place], at)
+    return mixed(mixed(sums + sizes.astype(np.uint64)) * MIX), counts
+
+
+def hashed_words(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of the texts with about `limit` bytes: first row, row after the last, word hashes, and the number of words of each
+    text. Null texts have none."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    a = 0
+    while a < len(texts):
+        e = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[offsets[a] : offsets[e]] if held is not None else np.empty(0, np.uint8)
+        yield a, e, *word_hashes(data, offsets[a + 1 : e + 1] - offsets[a])
+        a = e
 
 
 def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
@@ -59,6 +110,7 @@ def append(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callab
             made = f(b)
             cols = [b.column(c) for c in keep] + [x if isinstance(x := made[y.name], pa.Array) else pa.array(x, type=arrow.field(y.name).type) for y in fields]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *(y.name for y in fields)])
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -71,6 +123,7 @@ def emit(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
     def run(batches):
         for made in make()(batches):
             yield pa.RecordBatch.from_arrays([x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
+        trimmed()
 
     return df.mapInArrow(run, kinds)
 

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, licenses, lm, near, pieces, quality, secrets, sharding, topk, wavelet
 
@@ -259,3 +260,78 @@ def test_wavelet_gaps_of_other_white_space():
     some += ["".join(r.choice(["mot", "a", "é", ".", " ", " ", "\u00a0", "\t", "\r", "\n", "\u2003", "\x85", "\x1c"]) for _ in range(24)) for _ in range(4000)]
     for t, got in zip(some, enc(some), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_near_blocks_of_a_dense_bucket(spark, monkeypatch):
+    """Many classes of mutual similarity about 0.75 in common buckets, dealt to small blocks, against brute force."""
+    monkeypatch.setattr(near, "BLOCK", 7)
+    r = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(200), r.choice([3, 12, 15, 18])):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w), "en", "a", 0))
+    sets = {i: frozenset(zip(t.split(), t.split()[1:], strict=False)) for i, t, *_ in rows}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    assert 20 < len({top(i) for i in sets}) < 150
+    got = {x["doc_id"]: x["component_id"] for x in near.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: top(i) for i in sets}
+
+
+def test_near_components_of_a_chain(spark, monkeypatch):
+    """A chain with ascending ids takes few rounds."""
+    made = []
+    plain = near.stored
+    monkeypatch.setattr(near, "stored", lambda df, tag: made.append(tag) or plain(df, tag))
+    n = 2000
+    links = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(9000, 8000), (8000, 8500)], "a long, b long"))
+    got = {x["node"]: x["component"] for x in near.components(links).collect()}
+    assert got == {k: 0 for k in range(n)} | {9000: 8000, 8000: 8000, 8500: 8000}
+    assert len(made) < 40
+
+
+def test_near_recall_at_the_threshold(spark):
+    """Pairs just above 0.8 are all found, pairs just below are not linked."""
+    r, rows, want = random.Random(8), [], {}
+    for i in range(600):
+        w = [f"p{i}_{k}" for k in range(120)]
+        v, k = list(w), 0
+        a = frozenset(zip(w, w[1:], strict=False))
+        while True:  # change words until the next change would go below
+            x = list(v)
+            x[r.randrange(120)] = f"q{i}_{k}"
+            k += 1
+            b = frozenset(zip(x, x[1:], strict=False))
+            if 100 * len(a & b) < 80 * len(a | b):
+                break
+            v = x
+        rows += [(3 * i, " ".join(w), "en", "a", 0), (3 * i + 1, " ".join(v), "en", "a", 0)]
+        want |= {3 * i: 3 * i, 3 * i + 1: 3 * i}
+    got = {x["doc_id"]: x["component_id"] for x in near.groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_near_odd_rows(spark, odd, none):
+    """Rows that share an id, rows without one, repeated rows, clashing names."""
+    t, u = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, t, 7), (1, u, 7), (2, u, 7), (2, u, 7), (None, t, 7), (None, "lone text of no id at all", 7), (None, "lone text of no id at all", 8), (3, "", 7), (3, "", 7), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe long").withColumns({"rk": F.lit("x"), "component": F.lit("y"), "row": F.lit(1)})
+    got = sorted(((x["doc_id"] or 0, x["n_shingles"], x["component_id"] or 0, x["kept"]) for x in near.groups(docs).collect()))
+    assert got == sorted([(1, 49, 1, True), (1, 49, 1, True), (2, 49, 1, False), (2, 49, 1, False), (0, 49, 1, False), (0, 6, 0, False), (0, 6, 0, False), (3, 0, 3, True), (3, 0, 3, True), (4, 0, 4, True)])
+    kept = near.deduplicate(docs)
+    assert kept.dtypes == docs.dtypes
+    left = sorted(((x["doc_id"] or 0, x["text"]) for x in kept.collect()), key=repr)
+    assert left == sorted([(1, t), (1, u), (0, "lone text of no id at all"), (3, ""), (3, ""), (4, None)], key=repr)
+    assert sorted((x["doc_id"] or 0) for x in near.deduplicate(odd).collect()) == [1, 2, 3, 4, 6, 7] and near.deduplicate(none).count() == 0
