@@ -13,21 +13,26 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import emit, prepare, stored, table
 
 MAGIC, STEP, FILE_TOKENS, FILE_DOCS = b"WVMX", 512, 2_000_000, 50_000
-#: A space between characters that aren't white space is where the byte-level pattern always starts a new token.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes that are ASCII letters or digits; white space but for spaces and newlines, and other control characters; punctuation marks.
+PLAIN = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
+ODD = np.array([c < 32 and c != 10 or c == 127 for c in range(256)])
+MARK = np.array([chr(c) in ".,;:!?" for c in range(256)])
 #: Pieces between cuts that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 500_000
+#: Bytes of text that are encoded together.
+STRIP = 4 << 20
 _remembered: dict = {}
 
 
@@ -142,64 +147,151 @@ class Wavelet:
         return self.alphabet.astype(np.uint32)[x] if self.n else np.empty(0, np.uint32)
 
 
+def _borders(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts that begin at `starts`: only where the byte-level pattern always cuts. These are spaces
+    between ASCII letters and digits, and in texts whose white space is just spaces and newlines also the other borders of white
+    space and those between a letter and a punctuation mark."""
+    n = len(b)
+    word = PLAIN[b]
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[starts] = True
+    inner = np.ones(n + 1, dtype=bool)  # not a text's first byte
+    inner[starts] = False
+    before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    before[1:] = word[:-1] & inner[1:n]
+    after[:-1] = word[1:] & inner[1:n]
+    space = b == 32
+    cut[:n] |= space & before & after
+    # texts with other white space, or a bracket of a special token, have no further cuts
+    odd = ODD[b]
+    two = np.flatnonzero((b[:-1] >= 0xC2) & (b[:-1] <= 0xE3) | (b[:-1] == 60))
+    x, y = b[two], b[two + 1]
+    z = b[np.minimum(two + 2, n - 1)]
+    thin = (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F)
+    odd[two] |= (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & thin | (x == 0xE3) & (y == 0x80) & (z == 0x80) | (x == 60) & (y == 124)
+    bad = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+    good = np.ones(len(starts), dtype=bool)
+    good[bad] = False
+    if len(bad) == len(starts):
+        return cut
+    white = space | (b == 10)
+    first, last = white.copy(), white.copy()  # of a run of white space
+    first[1:] &= ~white[:-1] | ~inner[1:n]
+    last[:-1] &= ~white[1:] | ~inner[1:n]
+    ends = np.append(starts[1:], n) - 1
+    final = np.zeros(n, dtype=bool)  # a text's last byte
+    final[ends[ends >= starts]] = True
+    more = np.zeros(n + 1, dtype=bool)
+    more[:n] = first | (last & ~final)
+    more[1 : n + 1] |= last & ~final & ~space  # a newline stands alone before a word
+    # a mark after a letter
+    letter = word.copy()
+    at = np.flatnonzero((b[:-1] >= 0xC3) & (b[:-1] <= 0xC5))
+    letter[at + 1] |= ~((b[at] == 0xC3) & ((b[at + 1] == 0x97) | (b[at + 1] == 0xB7)))
+    more[1:n] |= MARK[b[1:]] & letter[:-1] & inner[1:n]
+    if len(bad):
+        size = np.diff(np.append(starts, n))
+        more[:n] &= np.repeat(good, size)
+    return cut | more
+
+
 def encoder(path: str):
-    """text -> ids as bytes of unsigned 32-bit integers. Texts are cut where the pattern always cuts; each different piece is
-    encoded once by the library and remembered."""
+    """texts -> their ids one after another, and each text's number of ids. Texts are cut where the pattern always cuts; each different
+    piece is encoded once by the library and remembered."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core for each task
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    heads, tails = _remembered.setdefault(path, ({}, {}))
-
+    known = _remembered.setdefault(path, {})
     sizes = np.array([len(tok.id_to_token(k) or "") for k in range(tok.get_vocab_size())])  # a character for each byte
 
-    def learn(known: dict, new: list[str], front: str) -> None:
-        apart = [x for x in new if not front or x[-1:].isspace() or not x]
-        for x, e in zip(apart, tok.encode_batch_fast([front + x for x in apart], add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        joint = [x for x in new if front and not (x[-1:].isspace() or not x)]
-        for k in range(0, len(joint), 20_000):  # pieces in a row: no token crosses their borders
-            part = joint[k : k + 20_000]
-            ids = np.array(tok.encode_batch_fast([front + front.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) + len(front) for x in part])) + 1
-            raw, at = ids.tobytes(), 0
-            for x, e in zip(part, (4 * ends).tolist(), strict=True):
-                known[x] = raw[at:e]
-                at = e
-            if at != len(raw):
-                raise ValueError("the tokenizer isn't byte-level")
-
-    def encode(texts: list[str]) -> list[bytes]:
-        # if every white space is a single space or newline between words, each space is a cut; the words joined again by single
-        # spaces are the text only then
-        cut = [t.split(" ") if " ".join(t.split()) == t.replace("\n", " ") else CUT.split(t) for t in texts]
-        first = [c.pop(0) for c in cut]
-        if len(heads) > MEMORY // 10:
-            heads.clear()
-        learn(heads, list({x for x in first if x not in heads}), "")
-        wanted = set().union(*cut)
-        new = [x for x in wanted if x not in tails]
-        if len(tails) + len(new) > MEMORY:  # the first are the frequent ones
-            some = dict(itertools.islice(tails.items(), MEMORY * 6 // 10))
-            tails.clear()
-            tails.update(some)
-            new = [x for x in wanted if x not in tails]
-        learn(tails, new, " ")
-        return [b"".join([heads[x], *[tails[w] for w in c]]) for x, c in zip(first, cut, strict=True)]
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(new: list[bytes]) -> None:
+        spaced, bare, single = [], [], []
+        for x in new:
+            edge = x[-1:].isspace() or x[-1] >= 0x80 and x.decode()[-1].isspace()
+            if edge or b"<|" in x:
+                single.append(x)
+            elif x[0] == 32 and x[1:2] > b" " and not (x[1] >= 0x80 and x[1:].decode()[0].isspace()):
+                spaced.append(x)
+            elif x[0] > 32 and x[0] != 0x7F and not (x[0] >= 0x80 and x.decode()[0].isspace()):
+                bare.append(x)
+            else:
+                single.append(x)
+        for x in single:
+            known[x] = ids_of(x.decode()).tobytes()
+        # pieces in a row: no token crosses their borders
+        for some, gap in ((spaced, b""), (bare, b"\n")):
+            for k in range(0, len(some), 20_000):
+                part = some[k : k + 20_000]
+                ids = ids_of(gap.join(part).decode())
+                ends = np.cumsum([len(x) + len(gap) for x in part]) - len(gap)
+                place = np.cumsum(sizes[ids])
+                stops = np.searchsorted(place, ends) + 1
+                if not len(ids) or (place[stops - 1] != ends).any():
+                    raise ValueError("the tokenizer isn't byte-level")
+                raw, at = ids.tobytes(), 0
+                for x, e in zip(part, (4 * stops).tolist(), strict=True):
+                    known[x] = raw[at:e]
+                    at = e + 4 * len(gap)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
+        b = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        starts = offsets[:-1] - offsets[0]
+        if not len(b):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        full = starts[np.diff(offsets) > 0]
+        at = np.flatnonzero(_borders(b, full)[:-1]).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(b))), pa.py_buffer(b)]).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        if len(known) > MEMORY:  # the first are the frequent ones
+            some = dict(itertools.islice(known.items(), MEMORY * 6 // 10))
+            known.clear()
+            known.update(some)
+        made = [known.get(x) for x in words]
+        learn([x for x, y in zip(words, made, strict=True) if y is None])
+        made = [known[x] if y is None else y for x, y in zip(words, made, strict=True)]
+        size = np.array([len(x) for x in made], dtype=np.int64) // 4
+        flat, place = np.frombuffer(b"".join(made), "<u4"), np.cumsum(size) - size
+        which = pieces.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((place[which] - (ends - n)).astype(np.int32), n) + np.arange(int(ends[-1]), dtype=np.int32)]
+        # ids before each text: those of the pieces before it
+        before = np.append(0, ends)[np.searchsorted(at, starts)]
+        return ids, np.diff(np.append(before, len(ids)))
 
     return encode
 
 
-def strips(texts: list[str], limit: int = 1_000_000):
-    """Slices of texts with about `limit` characters each."""
-    a = n = 0
-    for k, t in enumerate(texts):
-        n += len(t)
-        if n >= limit:
-            yield slice(a, k + 1)
-            a, n = k + 1, 0
-    if a < len(texts):
-        yield slice(a, len(texts))
+def strips(sizes: np.ndarray, limit: int):
+    """Slices of rows with about `limit` bytes each."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, e
+        a = e
+
+
+def gathered(batches, limit: int = STRIP):
+    """Batches of about `limit` bytes of text (the second column)."""
+    some, n = [], 0
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        for a, e in strips(sizes, limit):
+            some.append(b.slice(a, e - a))
+            n += int(sizes[a:e].sum())
+            if n >= limit:
+                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+                some, n = [], 0
+    if some:
+        t = pa.Table.from_batches(some).combine_chunks()
+        yield from t.to_batches()
 
 
 def write_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, file_tokens: int = FILE_TOKENS, partitions: int | None = None) -> DataFrame:
@@ -212,25 +304,35 @@ def write_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     def make():
         from pyspark import TaskContext
 
-        encode, part, end = encoder(tokenizer), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
 
         def run(batches):
-            names, parts, sizes, total, seq = [], [], [], 0, 0
+            names, parts, sizes, total, docs_, seq = [], [], [], 0, 0, 0
 
             def file():
-                x = np.frombuffer(b"".join(parts), "<u4")
-                return {"file_id": [part << 32 | seq], "n_tokens": [len(x)], "doc_ids": [names], "lengths": [sizes], "blob": [Wavelet.build(x)]}
-
-            for b in batches:
-                ids_of, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for name, ids in ((x, y) for k in strips(texts) for x, y in zip(ids_of[k], encode(texts[k]), strict=True)):
-                    names.append(name)
-                    parts += [ids, end]
-                    sizes.append(len(ids) // 4 + 1)
-                    total += sizes[-1]
-                    if total >= file_tokens or len(names) >= FILE_DOCS:
+                return {"file_id": [part << 32 | seq], "n_tokens": [total], "doc_ids": [names], "lengths": [np.concatenate(sizes)], "blob": [Wavelet.build(np.concatenate(parts))]}
+
+            for b in gathered(batches):
+                ids_of, n = b.column(0).to_pylist(), b.num_rows
+                ids, own = encode(b.column(1))
+                own = own + 1
+                ends = np.cumsum(own)
+                x = np.full(int(ends[-1]), end_id, dtype="<u4")
+                inside = np.ones(len(x), dtype=bool)
+                inside[ends - 1] = False
+                x[inside] = ids
+                a = 0
+                while a < n:  # the documents up to the one that fills the file
+                    done = int(ends[a - 1]) if a else 0
+                    e = min(n, int(np.searchsorted(ends, done + file_tokens - total)) + 1, a + FILE_DOCS - docs_)
+                    names += ids_of[a:e]
+                    sizes.append(own[a:e].astype(np.int32))
+                    parts.append(x[done : int(ends[e - 1])])
+                    total, docs_ = total + int(ends[e - 1]) - done, docs_ + e - a
+                    if total >= file_tokens or docs_ >= FILE_DOCS:
                         yield file()
-                        names, parts, sizes, total, seq = [], [], [], 0, seq + 1
+                        names, parts, sizes, total, docs_, seq = [], [], [], 0, 0, seq + 1
+                    a = e
             if names:
                 yield file()
 
