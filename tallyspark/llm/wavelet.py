@@ -30,7 +30,7 @@ PLAIN = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in rang
 ODD = np.array([c < 32 and c != 10 or c == 127 for c in range(256)])
 MARK = np.array([chr(c) in ".,;:!?" for c in range(256)])
 #: Pieces between cuts that a worker remembers.
-MEMORY = 500_000
+MEMORY = 700_000
 #: Bytes of text that are encoded together.
 STRIP = 4 << 20
 _remembered: dict = {}

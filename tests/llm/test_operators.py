@@ -140,18 +140,45 @@ def test_lm(spark, texts, odd, none, tmp_path):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
+    # the score by hand: bigrams smoothed by a unigram with absolute discount, stored in steps of 1 / GRID of log10
+    pair = collections.Counter(x for i, t in token.items() if not held[i] for x in zip([None, *t], t, strict=False))
+    uses = c | collections.Counter({None: sum(not h for h in held.values())})
+    ones, twos = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos)
+    p1 = lambda w: (c[w] - d) / n if c[w] else d * v / n / (v + 1)
+    for i, t in token.items():
+        want = [math.log10((pair[u, w] + lm.PRIOR * p1(w)) / (uses[u] + lm.PRIOR)) for u, w in zip([None, *t], t, strict=False)]
+        known = sum(pair[x] > 0 for x in zip([None, *t], t, strict=False))
+        assert abs(got[i]["score"] - sum(want)) <= known / (2 * lm.GRID) + 1e-6 * len(t)
     rows = lm.score(odd, chunk_tokens=10, model_path=str(tmp_path / "model")).collect()
     assert len(rows) == 8 and all(r["score"] < 0 for r in rows)
+    by = {(r["doc_id"], r["n_tokens"]): r for r in rows}
+    assert by[1, 1]["held_out"] is (zlib.crc32(b"1") % 7 == 2) and by[None, 5]["held_out"] is False and by[2, 1]["n_known"] == 1
+    assert by[3, 30_001]["n_tokens"] == 30_001 and by[1, 1]["score"] == by[2, 1]["score"] == by[7, 1]["score"]
+    assert [r["score"] for r in rows if r["doc_id"] == 4][0] == [r["score"] for r in rows if r["doc_id"] == 4][1]
     blob = spark.read.parquet(str(tmp_path / "model")).first()["trie"]
     (tmp_path / "trie").write_bytes(blob)
-    assert lm.Trie.open(str(tmp_path / "trie")).successors.n > 0
+    mapped = lm.Trie.open(str(tmp_path / "trie"))
+    at = np.arange(mapped.successors.n)
+    rank = (mapped.successors.get(at) >> np.uint64(40)).astype(np.int64)
+    words_, contexts = mapped.successors.get(at) & np.uint64((1 << 40) - 1), mapped.contexts.get(rank)
+    assert mapped.successors.n > 0 and (mapped.look(contexts, np.ones(len(at), np.int64), words_) == mapped.codes).all()
+    assert not mapped.look(contexts, np.ones(len(at), np.int64), words_ ^ np.uint64(1)).any()
     assert lm.score(none).count() == 0
 
 
-def test_elias_fano():
-    x = np.cumsum(np.random.default_rng(1).integers(0, 1 << 40, 200_000, dtype=np.uint64))
-    assert (lm.EliasFano(lm.EliasFano.build(x)).values() == x).all()
-    assert len(lm.EliasFano(lm.EliasFano.build(x[:0])).values()) == 0
+@pytest.mark.parametrize(("n", "top"), [(0, 1), (1, 1 << 63), (2, 3), (1000, 1 << 20), (200_000, 1 << 40), (5000, 1 << 51)])
+def test_elias_fano(n, top):
+    r = np.random.default_rng(n)
+    x = np.unique(r.integers(0, top, n, dtype=np.uint64)) if n != 1000 else np.unique(np.concatenate([r.integers(0, top, n, dtype=np.uint64), np.arange(5000, 6000, dtype=np.uint64)]))
+    e = lm.EliasFano(lm.EliasFano.build(x))
+    at = np.arange(len(x))
+    assert e.n == len(x) and (e.get(at) == x).all() and (e.find(x) == at).all()
+    asked = r.integers(0, 1 << 63, 3000, dtype=np.uint64) % np.uint64(2 * top)
+    there = dict(zip(x.tolist(), at.tolist(), strict=True))
+    assert e.find(asked).tolist() == [there.get(int(v), -1) for v in asked]
+    if len(x) > 10:
+        assert (e.find(x, np.full(len(x), 3), np.full(len(x), 9)) == np.where((at >= 3) & (at < 9), at, -1)).all()
 
 
 def encoded(encode, texts):
