@@ -22,18 +22,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import emit, prepare, stored, table
+from .common import SLICE, emit, prepare, stored, table
 
 MAGIC, STEP, FILE_TOKENS, FILE_DOCS = b"WVMX", 512, 2_000_000, 50_000
-#: Bytes that are ASCII letters or digits; white space but for spaces and newlines, and other control characters; punctuation marks.
-PLAIN = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
-ODD = np.array([c < 32 and c != 10 or c == 127 for c in range(256)])
-MARK = np.array([chr(c) in ".,;:!?" for c in range(256)])
+#: Classes of bytes: ASCII letters and digits; punctuation marks; white space but for spaces and newlines, and other control
+#: characters; first bytes of characters that need a look at the next ones.
+PLAIN, MARK, ODD, LOOK = 1, 2, 4, 8
+CLASS = bytes(PLAIN * (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122) | MARK * (c in b".,;:!?") | ODD * (c < 32 and c != 10 or c == 127) | LOOK * (c in (60, 0xC2, 0xE1, 0xE2, 0xE3)) for c in range(256))
 #: Pieces between cuts that a worker remembers.
-MEMORY = 700_000
+MEMORY = 1_000_000
 #: Bytes of text that are encoded together.
-STRIP = 4 << 20
-_remembered: dict = {}
+STRIP = 16 << 20
+_remembered: dict = {}  # path -> tokenizer, bytes of each token, ids of pieces
 
 
 class Wavelet:
@@ -68,15 +68,15 @@ class Wavelet:
         levels = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
         zeros, body = [], []
         for k in range(levels - 1, -1, -1):
-            bit = (x >> k) & 1 == 1
+            bit = (x & x.dtype.type(1 << k)) != 0
             plane = np.packbits(bit, bitorder="little")
             whole = np.zeros((n // STEP + 1) * STEP // 8, dtype=np.uint8)
             whole[: len(plane)] = plane
             counts = np.bitwise_count(whole.view(np.uint64)).reshape(-1, STEP // 64).sum(axis=1, dtype=np.uint32)
             body += [plane.tobytes(), np.concatenate([[0], np.cumsum(counts)[:-1]]).astype("<u4").tobytes()]
-            low = x[~bit]
+            low = x.take(np.flatnonzero(~bit))
             zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([low, x.take(np.flatnonzero(bit))])
         return struct.pack("<4sQIB", MAGIC, n, len(alphabet), levels) + alphabet.astype("<u4").tobytes() + np.array(zeros, "<u8").tobytes() + b"".join(body)
 
     def rank1(self, level: int, i: int) -> int:
@@ -141,8 +141,8 @@ class Wavelet:
             bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(x)
             z = int(self.zeros[k])
-            up[~bit] = x[:z]
-            up[bit] = x[z:] | np.array(1 << (self.levels - 1 - k), dtype=x.dtype)
+            up[np.flatnonzero(~bit)] = x[:z]
+            up[np.flatnonzero(bit)] = x[z:] | np.array(1 << (self.levels - 1 - k), dtype=x.dtype)
             x = up
         return self.alphabet.astype(np.uint32)[x] if self.n else np.empty(0, np.uint32)
 
@@ -152,7 +152,8 @@ def _borders(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     between ASCII letters and digits, and in texts whose white space is just spaces and newlines also the other borders of white
     space and those between a letter and a punctuation mark."""
     n = len(b)
-    word = PLAIN[b]
+    kind = np.frombuffer(b.tobytes().translate(CLASS), np.uint8)
+    word = (kind & PLAIN) != 0
     cut = np.zeros(n + 1, dtype=bool)
     cut[starts] = True
     inner = np.ones(n + 1, dtype=bool)  # not a text's first byte
@@ -163,8 +164,8 @@ def _borders(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     space = b == 32
     cut[:n] |= space & before & after
     # texts with other white space, or a bracket of a special token, have no further cuts
-    odd = ODD[b]
-    two = np.flatnonzero((b[:-1] >= 0xC2) & (b[:-1] <= 0xE3) | (b[:-1] == 60))
+    odd = (kind & ODD) != 0
+    two = np.flatnonzero(kind[:-1] & LOOK)
     x, y = b[two], b[two + 1]
     z = b[np.minimum(two + 2, n - 1)]
     thin = (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F)
@@ -188,7 +189,7 @@ def _borders(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     letter = word.copy()
     at = np.flatnonzero((b[:-1] >= 0xC3) & (b[:-1] <= 0xC5))
     letter[at + 1] |= ~((b[at] == 0xC3) & ((b[at + 1] == 0x97) | (b[at + 1] == 0xB7)))
-    more[1:n] |= MARK[b[1:]] & letter[:-1] & inner[1:n]
+    more[1:n] |= ((kind[1:] & MARK) != 0) & letter[:-1] & inner[1:n]
     if len(bad):
         size = np.diff(np.append(starts, n))
         more[:n] &= np.repeat(good, size)
@@ -201,41 +202,42 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a core for each task
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    known = _remembered.setdefault(path, {})
-    sizes = np.array([len(tok.id_to_token(k) or "") for k in range(tok.get_vocab_size())])  # a character for each byte
+    if path not in _remembered:
+        tok = Tokenizer.from_file(path)
+        _remembered[path] = tok, np.array([len(tok.id_to_token(k) or "") for k in range(tok.get_vocab_size())]), {}  # a character for each byte
+    tok, sizes, known = _remembered[path]
 
     def ids_of(text: str) -> np.ndarray:
         return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(new: list[bytes]) -> None:
-        spaced, bare, single = [], [], []
-        for x in new:
-            edge = x[-1:].isspace() or x[-1] >= 0x80 and x.decode()[-1].isspace()
-            if edge or b"<|" in x:
-                single.append(x)
-            elif x[0] == 32 and x[1:2] > b" " and not (x[1] >= 0x80 and x[1:].decode()[0].isspace()):
-                spaced.append(x)
-            elif x[0] > 32 and x[0] != 0x7F and not (x[0] >= 0x80 and x.decode()[0].isspace()):
-                bare.append(x)
-            else:
-                single.append(x)
-        for x in single:
-            known[x] = ids_of(x.decode()).tobytes()
+        lens = np.array([len(x) for x in new], dtype=np.int64)
+        ends = np.cumsum(lens)
+        b = np.frombuffer(b"".join([b"\0\0", *new, b"\0"]), np.uint8).astype(np.int16)
+        head, tail = ends - lens + 2, ends + 1
+        # first and last characters that surely are no white space: printable ASCII, or two bytes from U+00C0 on
+        shown = lambda x: (x > 32) & (x < 127)
+        begins = lambda at: shown(b[at]) | (b[at] >= 0xC3) & (b[at] <= 0xDF)
+        closed = shown(b[tail]) | (b[tail] >= 0x80) & (b[tail - 1] >= 0xC3) & (b[tail - 1] <= 0xDF)
+        special = np.array([b"<|" in x for x in new]) if b"<|" in b"".join(new) else np.zeros(len(new), bool)
+        spaced = (b[head] == 32) & begins(head + 1) & (lens > 1) & closed & ~special
+        bare = begins(head) & closed & ~special
+        for k in np.flatnonzero(~spaced & ~bare).tolist():
+            known[new[k]] = ids_of(new[k].decode()).tobytes()
         # pieces in a row: no token crosses their borders
         for some, gap in ((spaced, b""), (bare, b"\n")):
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
+            at = np.flatnonzero(some)
+            for k in range(0, len(at), 20_000):
+                part = [new[j] for j in at[k : k + 20_000].tolist()]
                 ids = ids_of(gap.join(part).decode())
-                ends = np.cumsum([len(x) + len(gap) for x in part]) - len(gap)
+                stops = np.cumsum(lens[at[k : k + 20_000]] + len(gap)) - len(gap)
                 place = np.cumsum(sizes[ids])
-                stops = np.searchsorted(place, ends) + 1
-                if not len(ids) or (place[stops - 1] != ends).any():
+                last = np.searchsorted(place, stops) + 1
+                if not len(ids) or (place[last - 1] != stops).any():
                     raise ValueError("the tokenizer isn't byte-level")
-                raw, at = ids.tobytes(), 0
-                for x, e in zip(part, (4 * stops).tolist(), strict=True):
-                    known[x] = raw[at:e]
-                    at = e + 4 * len(gap)
+                raw = ids.tobytes()
+                from_ = np.append(0, last[:-1] + len(gap))
+                known.update(zip(part, [raw[x:y] for x, y in zip((4 * from_).tolist(), (4 * last).tolist(), strict=True)], strict=True))
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -245,7 +247,12 @@ def encoder(path: str):
         if not len(b):
             return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
         full = starts[np.diff(offsets) > 0]
-        at = np.flatnonzero(_borders(b, full)[:-1]).astype(np.int64)
+        ends, at, k = np.append(full[1:], len(b)), [], 0
+        while k < len(full):  # borders are found in slices of whole texts
+            e = max(k + 1, int(np.searchsorted(ends, full[k] + SLICE, "right")))
+            at.append(np.flatnonzero(_borders(b[full[k] : ends[e - 1]], full[k:e] - full[k])[:-1]) + full[k])
+            k = e
+        at = np.concatenate(at)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(b))), pa.py_buffer(b)]).dictionary_encode()
         words = pieces.dictionary.to_pylist()
         if len(known) > MEMORY:  # the first are the frequent ones
@@ -253,9 +260,10 @@ def encoder(path: str):
             known.clear()
             known.update(some)
         made = [known.get(x) for x in words]
-        learn([x for x, y in zip(words, made, strict=True) if y is None])
+        if new := [x for x, y in zip(words, made, strict=True) if y is None]:
+            learn(new)
         made = [known[x] if y is None else y for x, y in zip(words, made, strict=True)]
-        size = np.array([len(x) for x in made], dtype=np.int64) // 4
+        size = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
         flat, place = np.frombuffer(b"".join(made), "<u4"), np.cumsum(size) - size
         which = pieces.indices.to_numpy()
         n = size[which]
