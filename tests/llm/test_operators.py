@@ -236,6 +236,24 @@ def test_sharding(spark, odd, none, tmp_path):
     assert sharding.plan(odd, limit=100).count() == 8 and sharding.plan(none).count() == 0
 
 
+def test_sharding_writes_every_row(spark, odd, none, tmp_path, monkeypatch):
+    """A round trip of the writer with null and repeated keys and clashing names, with and without a broadcast directory."""
+    docs = odd.unionByName(spark.createDataFrame([(None, "y" * k, "en", None, k) for k in range(40)], SCHEMA)).withColumns({"h": F.lit(1), "h2": F.lit(2), "bytes": F.lit(3), "cell": F.lit("c"), "leaf": F.lit("l")})
+    want = sorted(map(repr, (tuple(r) for r in docs.collect())))
+    for most in (100_000, 0):
+        monkeypatch.setattr(sharding, "DIRECTORY", most)
+        told = sharding.write(docs, str(tmp_path / f"shards{most}"), limit=200)
+        back = spark.read.parquet(str(tmp_path / f"shards{most}"))
+        assert sorted(map(repr, (tuple(r) for r in back.select("row.*").collect()))) == want
+        sizes = {r["shard"]: (r["bytes"], r["rows"]) for r in told.collect()}
+        got = {r["shard"]: (r["b"], r["n"]) for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("row.text"), F.lit(0))).cast("long").alias("b"), F.count("*").alias("n")).collect()}
+        assert got == sizes and all(b <= 200 or n == 1 for b, n in sizes.values())
+    by_h = sharding.plan(docs, limit=200, key="h")
+    assert by_h.columns == ["h", "bytes", "shard", "depth", "shard_bytes"] and by_h.count() == 48
+    assert sharding.plan(docs, key="bytes").columns[0] == "key_bytes"
+    assert sharding.write(none, str(tmp_path / "none")).count() == 0
+
+
 def test_quality(spark, odd, none):
     train, test = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{train}/documents.parquet")
