@@ -56,11 +56,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, ends: np.ndarray, kinds: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts that lie one after another, and each text's number of words. A hash is a sum of the
-    bytes' random values times powers of an odd factor, mixed with the length."""
+    bytes' random values times powers of an odd factor, mixed with the length. kinds: each byte as it counts, 0 parts words."""
     global _power
-    x = IN_WORD[data]
+    x = kinds[data]
     inside = x != 0
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -82,7 +82,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mixed(mixed(sums + sizes.astype(np.uint64)) * MIX), counts
 
 
-def hashed_words(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: pa.Array, limit: int = SLICE, kinds: np.ndarray = IN_WORD) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of the texts with about `limit` bytes: first row, row after the last, word hashes, and the number of words of each
     text. Null texts have none."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
@@ -92,7 +92,7 @@ def hashed_words(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int
         e = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
         held = texts.buffers()[2]
         data = np.frombuffer(held, np.uint8)[offsets[a] : offsets[e]] if held is not None else np.empty(0, np.uint8)
-        yield a, e, *word_hashes(data, offsets[a + 1 : e + 1] - offsets[a])
+        yield a, e, *word_hashes(data, offsets[a + 1 : e + 1] - offsets[a], kinds)
         a = e
 
 

@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model from at most `rows` labelled rows; their hashed features reach the driver, not their texts."""
     prepare(docs.sparkSession)
     graded = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select(F.col(doc_id).alias("doc_id"), F.when(F.col("toxic") != 0, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
-    some = graded.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(2 * rows)
+    ids = docs.select(F.col(doc_id).alias("doc_id")).distinct()  # labels without a document push none out
+    some = graded.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
     met = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(some), "doc_id")
 
     def make():

@@ -61,6 +61,12 @@ def test_decontaminate(spark, texts, odd, none):
     rows = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(odd, bench, block_words=1).collect())
     assert (4, 2, 2, ["1"], True) in rows and (1, 0, 0, [], False) in rows and (3, 30000, 0, [], False) in rows and len(rows) == 8
     assert decontaminate.decontaminate(none, bench).count() == 0
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{D}/documents.parquet'; create view benchmark as select * from '{D}/benchmark.parquet'")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(tuple(r[k] for k in cols) for r in got.values()) == sorted(c.sql(f"select {', '.join(cols)} from ({decontaminate.OP3_SQL})").fetchall())
+    clash = odd.withColumns({"_bytes": F.lit(1), "hits": F.lit(2), "_bytes_": F.lit(3)})
+    assert decontaminate.decontaminate(clash, bench).where("contaminated").count() == 2 and "_bytes" in decontaminate.decontaminate(clash, bench).columns
     assert decontaminate.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
