@@ -355,3 +355,21 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
 
 def op10_near(spark, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), width=2)
+
+
+OP10_SQL = """
+with recursive d as (select row_number() over () as r, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct r, w[k : k + 1] as x from d, unnest(range(1, greatest(2, len(w)))) t(k) where len(w) > 0),
+n as (select r, count(*) as n from s group by r),
+sets as (select min(r) as r, list(r) as rows from (select r, list(x order by x) as xs from s group by r) g group by xs),
+p as (select a.r as a, b.r as b, count(*) as c from s a join s b on a.x = b.x and a.r < b.r where a.r in (select r from sets) and b.r in (select r from sets) group by a.r, b.r),
+l as (select a, b from p join n x on x.r = a join n y on y.r = b where 100 * c >= 80 * (x.n + y.n - c)),
+copies as (select r as a, unnest(rows) as b from sets),
+e as (select a, b from l union select b, a from l),
+reach(a, b) as (select r, r from sets union select reach.a, e.b from reach join e on reach.b = e.a),
+top as (select reach.a as r, min(d.doc_id) as component_id from reach join copies on copies.a = reach.b join d on d.r = copies.b group by reach.a),
+told as (select copies.b as r, component_id from top join copies on copies.a = top.r)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id, doc_id = coalesce(component_id, doc_id) as kept
+from d left join n using (r) left join told using (r)
+"""

@@ -242,6 +242,35 @@ def test_sharding(spark, odd, none, tmp_path):
     assert sharding.plan(odd, limit=100).count() == 8 and sharding.plan(none).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op6_secrets", "op10_near"])
+def test_sql(spark, name):
+    from tallyspark.llm import registry
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{D}/documents.parquet'")
+    got = registry.QUERIES[name](spark, D)
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"select {', '.join(got.columns)} from ({registry.SQL[name]})").fetchall())
+
+
+def test_sql_of_planted_rows(spark, odd, tmp_path):
+    """Ownership, weak spans, copies and chains that the driver's small tables lack."""
+    from tallyspark.llm import registry
+
+    live, copied, wide = "Ab3" + "xY9kQ" * 5, "Zq7" + "mN2pR" * 5, "Tt1" + "uV5wX" * 5
+    chain = [" ".join(f"c{j}" for j in range(k, k + 60)) for k in range(0, 24, 3)]
+    rows = [(20, f"é {live} z password = {live}", "en", "a", 0), (21, f"{live}", "fr", "a", 0), (22, copied, "en", "a", 0), (23, f"token:'{copied}'", "en", "b", 0), (24, "AKIA" + "Q7" * 10 + " " + "0af1" * 8, "en", "c", 0)]
+    rows += [(30 + k, wide, x, "d", 0) for k, x in enumerate(("en", "fr", "de", "es"))] + [(50 + k, x, "en", "e", 0) for k, x in enumerate(chain)] + [(48, chain[5].upper(), "en", "e", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(odd.where("doc_id is not null"))
+    docs.withColumnRenamed("n_words", "n_chars").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op6_secrets", "op10_near"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"select {', '.join(got.columns)} from ({registry.SQL[name]})").fetchall()), name
+    said = {r["doc_id"]: r for r in registry.QUERIES["op6_secrets"](spark, str(tmp_path)).collect()}
+    assert "token:2:30" in said[20]["spans"] and said[20]["n_live"] == 1 and said[22]["n_example"] == 1 and "token" not in said[22]["spans"] and said[30]["n_example"] == 1 and said[21]["spans"] == "token:0:28"
+
+
 def test_sharding_writes_every_row(spark, odd, none, tmp_path, monkeypatch):
     """A round trip of the writer with null and repeated keys and clashing names, with and without a broadcast directory."""
     docs = odd.unionByName(spark.createDataFrame([(None, "y" * k, "en", None, k) for k in range(40)], SCHEMA)).withColumns({"h": F.lit(1), "h2": F.lit(2), "bytes": F.lit(3), "cell": F.lit("c"), "leaf": F.lit("l")})
