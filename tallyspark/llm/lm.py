@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import MIX, SLICE, emit, hashed_words, prepare, stored, table
 
-CHUNK_TOKENS, WORD_SHARD, PAIR_SHARD, HOT, SUBS = 1_000_000, 1_000_000, 1_500_000, 4, 16
+CHUNK_TOKENS, WORD_SHARD, PAIR_SHARD, HOT, SUBS = 1_000_000, 500_000, 1_000_000, 4, 16
 GRID = 20.0  # codes for each power of ten: 255 of them reach down to 10 ** -12.7
 #: Weight of the unigram in every context, in tokens. Of 0.5, 2, 5, 20 .. 3000, the best for a seventh of the training documents of
 #: the driver's sf0.1 tables when the others taught; held-out documents weren't looked at.
