@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three transducers are compiled from a model file: the normaliser (identity map, spaces to U+2581, optional space in front), the
-pieces (an arc for every piece, with its id as output) and byte fallback (an arc of byte pieces for every character that no
-piece covers). They are composed with the input, and the tropical-semiring shortest path gives the ids.
+Three transducers are compiled from a model file: the normaliser (the file's rewrite rules, a trie of byte strings of which the longest
+match counts; its white space rules; spaces to U+2581, optional space in front), the pieces (an arc for every piece, with its id as
+output) and byte fallback (an arc of byte pieces, or of the unknown piece, for every character that no piece covers). They are
+composed with the input, and the tropical-semiring shortest path gives the ids. Models with user-defined pieces or with white space
+as a suffix are refused.
 
 For a merge-based model the last transducer is a bigram acceptor: two neighbouring pieces weigh 0 if merging their joined
 characters by piece score gives back these two, else infinity. A sequence of pieces is what merging makes of a text exactly
 if all neighbours pass (a first merge across a border would happen to that pair alone as well), so just one path of finite
-weight reaches every place. For a unigram model, arcs weigh minus their score and the acceptor passes all.
+weight reaches every place. For a unigram model, arcs weigh minus their score and the acceptor passes all; a character without a piece weighs 10 more than the worst piece. (Weights are summed in double precision; the library sums in
+single precision, so of two paths that weigh the same but for its rounding it may take the other.)
 
 Pieces with U+2581 inside don't occur, so no arc crosses the border before a space that follows another character: the input
 is cut there, and each different part is composed once in a worker. compile_model checks this, and else doesn't cut.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import append, field, long, prepare, table
 
 SPACE = "▁"
-MEMORY = 500_000
+MEMORY = 300_000
 #: Longest part that is composed together with others, characters of texts that are encoded together, and cached pairs.
 SHORT, TOGETHER, CACHE = 64, 2_000_000, 1 << 21
 CODES = 0x110000
@@ -68,6 +71,70 @@ def model_kind(path: str) -> int:
     return dict(fields(trained)).get(3, 1)
 
 
+class Normaliser:
+    """The normaliser of a model file's specification: a double-array trie from byte strings to their replacements."""
+
+    def __init__(self, spec: bytes):
+        found = dict(fields(spec))
+        data = found.get(2, b"")
+        self.front, self.trim = bool(found.get(3, 1)), bool(found.get(4, 1))
+        if not found.get(5, 1):
+            raise ValueError("models that don't escape white space aren't supported")
+        size = int.from_bytes(data[:4], "little")
+        self.units = np.frombuffer(data[4 : 4 + size], "<u4").tolist()
+        self.targets = data[4 + size :]
+        self.identity = not self.units and not self.trim
+        self.heads: dict[str, bool] = {}
+
+    def match(self, text: bytes, at: int) -> tuple[int, bytes]:
+        """Length and replacement of the longest rule that matches at a place, else 0."""
+        units, best = self.units, (0, b"")
+        node = units[0] >> 10 << ((units[0] & 512) >> 6)
+        for k in range(at, len(text)):
+            node ^= text[k]
+            unit = units[node]
+            if unit & 0x800000FF != text[k]:
+                break
+            node ^= unit >> 10 << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                a = units[node] & 0x7FFFFFFF
+                best = k + 1 - at, self.targets[a : self.targets.index(0, a)]
+        return best
+
+    def _begins(self, c: str) -> bool:
+        """Whether some rule may begin with the character's first byte and match within or beyond it."""
+        if (x := self.heads.get(c)) is None:
+            raw, units = c.encode(), self.units
+            node, x = units[0] >> 10 << ((units[0] & 512) >> 6), True
+            for k in raw:
+                node ^= k
+                if units[node] & 0x800000FF != k:
+                    x = False
+                    break
+                node ^= units[node] >> 10 << ((units[node] & 512) >> 6)
+            x = self.heads[c] = x or bool(self.match(raw, 0)[0])
+        return x
+
+    def __call__(self, text: str) -> str:
+        """The rewritten text, still with spaces for U+2581 and without a space in front."""
+        if self.identity or not text:
+            return text
+        parts = [text]
+        if self.units and any(self._begins(c) for c in set(text)):
+            raw, at, parts = text.encode(), 0, []
+            while at < len(raw):
+                n, x = self.match(raw, at)
+                if not n:
+                    n = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+                    x = raw[at : at + n]
+                parts.append(x.decode("utf-8", "replace"))
+                at += n
+        if not self.trim:
+            return "".join(parts)
+        # runs of spaces become one, and none at the ends
+        return re.sub(" +", " ", "".join(parts)).strip(" ").rstrip(f" {SPACE}")
+
+
 class Transducer:
     def __init__(self, path: str):
         import sentencepiece
@@ -79,9 +146,15 @@ class Transducer:
         self.bytes = {int(names[k][3:5], 16): k for k in range(n) if sp.is_byte(k)}
         self.arcs = {names[k]: k for k in range(n) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))}
         self.score = {x: sp.get_score(k) for x, k in self.arcs.items()}
+        with open(path, "rb") as f:
+            model = list(fields(f.read()))
+        if any(dict(fields(x)).get(3, 1) == 4 for k, x in model if k == 1) or dict(fields(dict(model).get(2, b""))).get(24, 0):
+            raise ValueError("models with user-defined pieces or white space as a suffix aren't supported")
+        self.rules = Normaliser(dict(model).get(3, b""))
+        self.beyond = 10.0 - min(self.score.values())  # weight of a character without a piece
         self.longest = max(map(len, self.arcs))
         self.cuts = not any(SPACE in x.lstrip(SPACE) for x in self.arcs)
-        self.front = sp.encode("a", out_type=str)[0].startswith(SPACE)
+        self.front = self.rules.front
         self.merges = model_kind(path) == 2
         self.output = [b""] * n
         for x, k in self.arcs.items():
@@ -121,8 +194,8 @@ class Transducer:
     def compose(self, part: str) -> list[int]:
         """Shortest path over one part of the normalised input: for each place the least weight and the piece that ends there."""
         n = len(part)
-        weight, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
         arcs, score, merges = self.arcs, self.score, self.merges
+        weight, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
         for e in range(1, n + 1):
             for a in range(max(0, e - self.longest), e):
                 x = part[a:e]
@@ -132,8 +205,10 @@ class Transducer:
                         weight[e], last[e] = w, x
                         if merges:
                             break
-            if last[e] == "":  # no piece covers the character: byte fallback
-                weight[e], last[e] = weight[e - 1] + 0.0, part[e - 1]
+            if merges and last[e] == "":  # no piece covers the character: byte fallback
+                weight[e], last[e] = weight[e - 1], part[e - 1]
+            elif not merges and part[e - 1] not in arcs and weight[e - 1] + self.beyond < weight[e]:
+                weight[e], last[e] = weight[e - 1] + self.beyond, part[e - 1]
         out: list[int] = []
         while n:
             x = last[n]
@@ -281,6 +356,7 @@ class Transducer:
 
     def _cut(self, text: str) -> list[str]:
         # cut before each run of spaces; "x y" has parts "x" and " y"
+        text = self.rules(text)
         if not text:
             return []
         if self.cuts and self.front and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text:
@@ -312,7 +388,13 @@ class Transducer:
         for c in new:
             if c not in known:
                 known[c] = np.array(self.compose(c), dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, cut)) for cut in cuts]
+        made = [b"".join(map(known.__getitem__, cut)) for cut in cuts]
+        return made if self.bytes else [self._once(x) for x in made]
+
+    def _once(self, ids: bytes) -> bytes:
+        """Unknown pieces in a row are one."""
+        x = np.frombuffer(ids, "<u4")
+        return x[np.append(True, (x[1:] != self.unknown) | (x[:-1] != self.unknown))[: len(x)]].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         out = self.output

@@ -321,6 +321,50 @@ def test_pieces_composed_together():
         assert [i for part in t._cut(text) for i in t.compose(part)] == want
 
 
+def field_of(number, value):
+    """A protocol buffer field: bytes, float or whole number."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram(path, fallback, spec):
+    """A model file of weighted pieces, written by hand."""
+    r = random.Random(2)
+    letters = "abcdeéstk▁"
+    words = {*letters} | {"".join(r.choice(letters[:-1]) for _ in range(r.randrange(2, 6))) for _ in range(300)}
+    words |= {"▁" + x for x in list(words)[:120] if not x.startswith("▁")}
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256) if fallback] + [(x, -r.randrange(1024, 12 * 1024) / 1024, 1) for x in sorted(words)]
+    model = b"".join(field_of(1, field_of(1, x.encode()) + field_of(2, w) + field_of(3, kind)) for x, w, kind in pieces_)
+    path.write_bytes(model + field_of(2, field_of(3, 1) + (field_of(35, 1) if fallback else b"")) + field_of(3, spec))
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc_cf"])
+def test_pieces_with_weights(fallback, rule, tmp_path):
+    """A unigram model: the shortest path by weight, with a rewriting normaliser, gives the library's ids."""
+    import sentencepiece
+
+    norm = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=rule != "identity")
+    spec = dict(pieces.fields(norm.serialized_model_proto()))[3]
+    unigram(tmp_path / "m.model", fallback, spec)
+    sp, t, r = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model")), pieces.compile_model(str(tmp_path / "m.model")), random.Random(6)
+    assert not t.merges and bool(t.rules.units) == (rule != "identity")
+    some = ["", " ", "  ab  ", "ab" * 40, "ﬁ ABÉ\tst\u00a0ａb", "①㍿ É", "x▁ ▁"] + ["".join(r.choice("aabbcdeéEstk  ▁xﬁＡ①\t\u3000e\u0301漢\U0001f600") for _ in range(r.randrange(60))) for _ in range(3000)]
+    for text, got in zip(some, t.encoded_many(some), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == sp.encode(text), repr(text)
+
+
 def test_licenses_of_real_files(spark):
     """Full licence texts, with a holder or wrapped anew, are licence files whose licence the files beside and below inherit."""
     full = {n: x[0] for n, x in licenses.full_texts().items()}
