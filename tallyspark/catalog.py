@@ -23,7 +23,7 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     v = visit_rows(spark, d)
-    return v.select(F.concat_ws(",", "url", X.format_iso(F.col("ts"))).alias("value"))
+    return v.select(F.concat_ws(",", "url", X.format_iso_utc(F.col("ts"))).alias("value"))
 
 
 def _cut(lines: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def _diff_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     base, new = (b.withColumnRenamed("first_ts", "entry_ts") for b in boards(spark, d))
-    return board.merge(base, new, "user_id")
+    return board.merge(base, new, "contestant")
 
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
@@ -62,10 +62,29 @@ def _gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pulls(spark: SparkSession, d: str) -> DataFrame:
-    """Users on one day as pull requests: their event types are labels, an error makes a draft."""
-    day = _events(spark, d).where(F.to_date("ts") == F.lit("2024-01-05").cast("date"))
-    tags = day.groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
-    return tags.select(F.col("user_id").alias("number"), F.transform("tags", lambda x: F.struct(x.alias("name"))).alias("labels"), F.array_contains("tags", "error").alias("draft"))
+    """Every user's day as a pull request: its event types are labels, an error makes a draft."""
+    day = F.to_date("ts")
+    tags = _events(spark, d).groupBy("user_id", day.alias("day")).agg(F.collect_set("event_type").alias("tags"))
+    return tags.select((F.col("user_id") * 1000 + F.dayofyear("day")).alias("number"), "user_id", "day", F.transform("tags", lambda x: F.struct(x.alias("name"))).alias("labels"), F.array_contains("tags", "error").alias("draft"))
+
+
+def _queue_one(spark: SparkSession, d: str) -> DataFrame:
+    """The draft with the smallest number among those with a label, asked for by number."""
+    pulls = _pulls(spark, d)
+    number = pulls.where("draft and exists(labels, x -> x.name = 'view')").agg(F.min("number")).first()[0]
+    return gate.queue(pulls, number=number, label="view").select("number", "user_id", "day")
+
+
+def _change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a commit that adds a board row."""
+    e = _events(spark, d).select(F.col("event_id").cast("string").alias("hash"), "ts", F.concat(F.lit("+++ b/board.csv\n+"), F.col("event_id").cast("string"), F.lit(";"), F.col("user_id").cast("string"), F.lit(";"), F.col("value").cast("string"), F.lit("s\n-1,2,3\n+\n+entry_date,branch_name,time")).alias("diff_text"))
+    log = e.select(F.concat("hash", F.lit("|"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000")).alias("line"))
+    return difflog.ingest(log, e.select("hash", "diff_text")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def _history_by_time(spark: SparkSession, d: str) -> DataFrame:
+    r = runs(spark, d)
+    return records.history_matrix(records.history_days(r, _fin(spark, d), day=r["ts"]))
 
 
 def _subset(spark: SparkSession, d: str) -> DataFrame:
@@ -82,13 +101,13 @@ def _status(spark: SparkSession, d: str) -> DataFrame:
 def _validate(spark: SparkSession, d: str) -> DataFrame:
     v = visit_rows(spark, d)
     counted = lambda x: visits.daily(x).withColumnRenamed("visits", "n")
-    return validate.diff(counted(v), counted(v.where("event_id % 997 <> 0")))
+    return validate.diff(counted(v), counted(v.where("event_type <> 'error'")))
 
 
 def _scan_board(spark: SparkSession, d: str) -> DataFrame:
     base, _ = boards(spark, d)
     path = folder(spark, "board")
-    files.write_board(base.select(F.unix_timestamp(F.col("first_ts").cast("timestamp")).alias("entry_date"), F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("branch_name"), F.col("secs").alias("time")), path)
+    files.write_board(base.select(F.unix_timestamp(F.col("first_ts").cast("timestamp")).alias("entry_date"), F.concat(F.lit(" "), F.col("contestant")).alias("branch_name"), F.col("secs").alias("time")), path)
     return files.board(spark, path).select("branch_name", "time")
 
 
@@ -98,11 +117,11 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    path, name = folder(spark, "visits"), "daily_" + folder(spark, "x")[-32:]
+    path, out = folder(spark, "visits"), folder(spark, "daily")
     visit_rows(spark, d).select("url", "day").repartition(3).write.parquet(path)
     stream = spark.readStream.schema("url string, day date").option("maxFilesPerTrigger", 1).parquet(path)
-    streams.run_daily(stream, name, folder(spark, "stream")).awaitTermination()
-    return streams.daily_result(spark, name)
+    streams.run_daily(stream, out, folder(spark, "stream")).awaitTermination()
+    return streams.daily_result(spark, out)
 
 
 def _stream_board(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +129,7 @@ def _stream_board(spark: SparkSession, d: str) -> DataFrame:
     _events(spark, d).where("value > 0").select("user_id", F.col("ts").alias("entry_ts"), F.col("value").alias("secs")).repartition(3).write.parquet(path)
     stream = spark.readStream.schema("user_id long, entry_ts timestamp_ntz, secs double").option("maxFilesPerTrigger", 1).parquet(path)
     streams.run_board(stream, out, "user_id", folder(spark, "stream")).awaitTermination()
-    return streams.last_version(spark, out.removeprefix("file://")).select("user_id", "secs")
+    return streams.last_version(spark, out).select("user_id", "secs")
 
 
 def _generated(spark: SparkSession, d: str) -> DataFrame:
@@ -134,14 +153,17 @@ QUERIES = {
     "history_long": lambda s, d: records.history_long(_history(s, d), _fin(s, d)),
     "history_matrix": lambda s, d: records.history_matrix(_history(s, d)),
     "board_merge": _merged,
-    "board_new_entries": lambda s, d: board.new_entries(*boards(s, d), "user_id").select("user_id", "secs"),
+    "board_new_entries": lambda s, d: board.new_entries(*boards(s, d), "contestant").select("contestant", "secs"),
     "board_collapse": lambda s, d: board.collapse(_events(s, d), "user_id", "value", "event_id"),
-    "board_ranked": lambda s, d: board.ranked(boards(s, d)[0].select("user_id", "secs"), "secs", "user_id"),
-    "board_text": lambda s, d: board.text(boards(s, d)[0], "user_id"),
+    "board_ranked": lambda s, d: board.ranked(boards(s, d)[0].select("contestant", "secs"), "secs", "contestant"),
+    "board_text": lambda s, d: board.text(boards(s, d)[0], "contestant"),
     "latest_label": lambda s, d: gate.latest_label(_events(s, d), "user_id", "ts", F.col("event_type") == "signup"),
     "eligibility_gate": _gate,
-    "review_queue": lambda s, d: gate.queue(_pulls(s, d), label="purchase").select(F.col("number").alias("user_id")),
-    "review_queue_one": lambda s, d: gate.queue(_pulls(s, d), number=7, label="view").select(F.col("number").alias("user_id")),
+    "review_queue": lambda s, d: gate.queue(_pulls(s, d), label="purchase").select("number", "user_id", "day"),
+    "review_queue_one": _queue_one,
+    "change_log": _change_log,
+    "history_by_time": _history_by_time,
+    "result_json": lambda s, d: _events(s, d).select("event_id", gate.result_seconds(F.concat(F.lit('{"results":[{"mean":'), F.col("value").cast("string"), F.lit(',"min":'), (F.col("value") / 2).cast("string"), F.lit("}]}")), files.RESULT).alias("r")).select("event_id", "r.mean", "r.least"),
     "queue_size": lambda s, d: _events(s, d).where("event_type = 'signup'").agg(F.count("*").alias("n")),
     "single_thread_subset": _subset,
     "measure_two_stage": lambda s, d: gate.measured(_events(s, d).where("event_type = 'click'"), "user_id", "value", 20.0),
@@ -153,7 +175,7 @@ QUERIES = {
     "diff_ingest": lambda s, d: difflog.added_rows(_diff_lines(s, d)),
     "strip_ansi": lambda s, d: _events(s, d).select("event_id", X.strip_ansi(F.concat(F.lit("\x1b[31m"), F.col("event_type"), F.lit("\x1b[0m"))).alias("msg")),
     "encode_url": lambda s, d: table(s, d, "orders").select("o_orderkey", F.url_encode("o_orderpriority").alias("enc")),
-    "format_iso": lambda s, d: _events(s, d).select("event_id", X.format_iso(F.col("ts")).alias("iso")),
+    "format_iso": lambda s, d: _events(s, d).select("event_id", X.format_iso_utc(F.col("ts")).alias("iso")),
     "lenient_number": lambda s, d: _events(s, d).select("event_id", X.lenient_number(F.concat(F.col("event_id").cast("string"), F.col("event_type"))).alias("num")),
     "runs_ordered": lambda s, d: runs(s, d).select("event_id", "branch", "secs", "ts").orderBy("ts", "event_id"),
     "scan_board": _scan_board,
@@ -164,11 +186,11 @@ QUERIES = {
 }
 
 _MORE = {
-    "review_queue_one": "select user_id from events where cast(ts as date) = date '2024-01-05' and user_id = 7 and event_type = 'view' group by user_id",
+    "review_queue_one": "select number, user_id, day from pulls where number = (select min(number) from pulls where list_contains(tags, 'error') and list_contains(tags, 'view'))",
     "truncate_millis": "select event_id, floor(secs*1000)/1000 as secs from runs",
     "validate_status": "select event_id, case when props is null then 'missing' when props = '' then 'empty' when props = '{\"k\": 1}' then 'ok' else 'unequal' end as status from events",
     "runs_ordered": "select event_id, branch, secs, ts from runs",
-    "scan_board": "select ' ' || cast(user_id as varchar) as branch_name, secs as time from base",
+    "scan_board": "select ' ' || contestant as branch_name, secs as time from base",
     "stream_daily_visits": "select path, day, count(*) as visits from visits group by path, day",
     "stream_board": "select user_id, min(value) as secs from events where value > 0 group by user_id",
 }

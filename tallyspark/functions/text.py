@@ -40,10 +40,43 @@ def lenient_number(text: Column) -> Column:
 
 
 def format_iso(stamp: Column) -> Column:
-    """ISO 8601 with the offset as +00:00; for instants, in the session's time zone."""
+    """ISO 8601 of an instant, in the session's time zone, with its offset."""
+    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def format_iso_utc(stamp: Column) -> Column:
+    """ISO 8601 of a time without zone, which counts as UTC."""
     return F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
+def instant(text: Column) -> Column:
+    """The instant that a date and time with an offset names, with a blank or T between its parts; null for other texts."""
+    plain = F.trim(text)
+    forms = ("yyyy-MM-dd HH:mm:ss Z", "yyyy-MM-dd HH:mm:ssxxx", "yyyy-MM-dd'T'HH:mm:ssxxx", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    return F.coalesce(*(F.try_to_timestamp(plain, F.lit(x)) for x in forms))
+
+
+def plain_number(x: Column) -> Column:
+    """A double as text, whole numbers without a decimal point."""
+    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+
+
+def json_text(text: Column) -> Column:
+    """The inside of a JSON string as ASCII, slashes escaped as well."""
+    plain = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("/"), F.lit("\\/"))
+    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(....)", r"\\u$1")
+
+    def escaped(c: Column) -> Column:
+        out = F.when(c.between(F.lit(" "), F.lit("\x7f")), c)
+        for k, v in short.items():
+            out = out.when(c == F.lit(k), F.lit(v))
+        return out.otherwise(units(c))
+
+    each = F.array_join(F.transform(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.when(plain.rlike("[^ -\x7f]"), each).otherwise(plain)
+
+
 def board_line(*columns: Column) -> Column:
     return F.concat_ws(",", *(c.cast("string") for c in columns))
 

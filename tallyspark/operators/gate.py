@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,12 @@ def measured(runs: DataFrame, key: str, value: str, limit: float = 5.0) -> DataF
     return runs.groupBy(key).agg((F.floor(secs * F.lit(1000.0)) / F.lit(1000.0)).alias("secs"))
 
 
+def result_seconds(document: Column, schema: str) -> Column:
+    """mean and least seconds of the first result in a benchmark's JSON document; nulls where it has none."""
+    first = F.get(F.from_json(document, schema)["results"], F.lit(0))
+    return F.struct(first["mean"].alias("mean"), first["min"].alias("least"))
+
+
 def status(*cases):
     """The first case whose condition holds: (condition, name) pairs, then a name."""
     *conditions, last = cases

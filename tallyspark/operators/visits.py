@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import day_of, url_path
+from ..functions.text import day_of, json_text, url_path
+from ..store import stored
 
 
 def daily(visits: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
@@ -30,16 +31,10 @@ def nested(report: DataFrame) -> DataFrame:
     return entries(report).select("path", F.to_json(F.map_from_entries("entries")).alias("doc"))
 
 
-def _escaped(text):
-    """As a pretty printer of JSON writes strings with slashes escaped."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.replace(out, F.lit("/"), F.lit("\\/"))
-
-
 def blocks(report: DataFrame) -> DataFrame:
     """path, block: a path's part of the document, four spaces to a level."""
     lines = F.transform("entries", lambda x: F.concat(F.lit('        "'), x["day"], F.lit('": '), x["n"].cast("string")))
-    return entries(report).select("path", F.concat(F.lit('    "'), _escaped(F.col("path")), F.lit('": {\n'), F.array_join(lines, ",\n"), F.lit("\n    }")).alias("block"))
+    return entries(report).select("path", F.concat(F.lit('    "'), json_text(F.col("path")), F.lit('": {\n'), F.array_join(lines, ",\n"), F.lit("\n    }")).alias("block"))
 
 
 def first_seen(visits: DataFrame, position: str) -> DataFrame:
@@ -54,3 +49,14 @@ def document(report: DataFrame, order: DataFrame | None = None) -> DataFrame:
     rows = rows.join(order, "path").select("seen", "path", "block") if order is not None else rows.select(F.lit(0).alias("seen"), "path", "block")
     one = rows.agg(F.array_sort(F.collect_list(F.struct("seen", "path", "block"))).alias("b"))
     return one.select(F.when(F.size("b") == 0, F.lit("[]")).otherwise(F.concat(F.lit("{\n"), F.array_join(F.transform("b", lambda x: x["block"]), ",\n"), F.lit("\n}"))).alias("doc"))
+
+
+def document_lines(report: DataFrame) -> DataFrame:
+    """line: the document as sorted texts, without gathering it in a row: a bracket, a text for each path, a bracket."""
+    kept = stored(report, "report")
+    last = kept.agg(F.max("path")).first()[0]
+    text = F.when(F.col("path") == F.lit(last), F.col("block")).otherwise(F.concat("block", F.lit(",")))
+    lines = blocks(kept).select(F.lit(1).alias("part"), "path", text.alias("line"))
+    empty = last is None
+    ends = report.sparkSession.createDataFrame([(0, "", "[]")] if empty else [(0, "", "{"), (2, "", "}")], "part int, path string, line string")
+    return lines.unionByName(ends).orderBy("part", "path").select("line")

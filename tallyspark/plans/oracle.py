@@ -1,7 +1,7 @@
 """SQL for DuckDB that gives the queries' rows. SHARED stands in front of each."""
 
 SHARED = """
-with visits as (select e.event_id, p.url,
+with visits as (select e.event_id, e.event_type, p.url,
     regexp_extract(p.url,'^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)',1) as path, cast(e.ts as date) as day
   from events e cross join (select count(*) as c from pages) n join pages p on p.page_id = e.event_id % n.c),
 runs as (select event_id, ts, cast(user_id as string) as branch, value as secs from events where value is not null),
@@ -9,11 +9,14 @@ entrants as (select branch, min(secs) as secs, min(floor(secs*100)/100) as check
   from runs where branch not in ('1','2') group by branch),
 reached as (select e.branch, e.secs, e.checkpoint, min(r.ts) as reached_at from entrants e
   join runs r on r.branch = e.branch and floor(r.secs*100)/100 = e.checkpoint group by e.branch, e.secs, e.checkpoint),
+seen as (select branch, min(ts) as first_ts, arg_min(event_id, (ts, event_id)) as first_id from runs group by branch),
 fin as (select branch, secs, checkpoint, reached_at, cast(rnk as bigint) as rnk from (
-    select branch, secs, checkpoint, reached_at, row_number() over (order by checkpoint, reached_at, branch) as rnk
-    from (select *, dense_rank() over (order by checkpoint) as dr from reached) z where dr <= 3) y where rnk <= 3),
-base as (select user_id, min(value) as secs, min(ts) as first_ts from events where event_type = 'click' and user_id % 5 <> 0 group by user_id),
-inc as (select user_id, min(value) as secs, min(ts) as first_ts from events where event_type = 'view' group by user_id)
+    select branch, secs, checkpoint, reached_at, row_number() over (order by checkpoint, reached_at, first_ts, first_id) as rnk
+    from (select *, dense_rank() over (order by checkpoint) as dr from reached) z join seen using (branch) where dr <= 3) y where rnk <= 3),
+pulls as (select user_id * 1000 + dayofyear(ts) as number, user_id, cast(ts as date) as day, list(distinct event_type) as tags from events group by all),
+boards as (select event_type, user_id || '@' || strftime(ts, '%Y-%m-%d') as contestant, min(value) as secs, min(ts) as first_ts from events group by all),
+base as (select contestant, secs, first_ts from boards where event_type = 'click'),
+inc as (select contestant, secs, first_ts from boards where event_type = 'view')
 """
 
 QUERIES = {
@@ -70,21 +73,21 @@ select entry_day, b1, b2, b3 from (
 where rn = 1 or b1 is distinct from p1 or b2 is distinct from p2 or b3 is distinct from p3
 """,
     "board_merge": """
-select coalesce(b.user_id,i.user_id) as user_id, coalesce(b.first_ts,i.first_ts) as entry_ts,
-  case when b.user_id is null then i.secs when i.secs < b.secs then i.secs else b.secs end as secs
-from base b full outer join inc i on b.user_id = i.user_id
+select coalesce(b.contestant,i.contestant) as contestant, coalesce(b.first_ts,i.first_ts) as entry_ts,
+  case when b.contestant is null then i.secs when i.secs < b.secs then i.secs else b.secs end as secs
+from base b full outer join inc i on b.contestant = i.contestant
 """,
     "board_new_entries": """
-select user_id, secs from inc i where not exists (select 1 from base b where b.user_id = i.user_id)
+select contestant, secs from inc i where not exists (select 1 from base b where b.contestant = i.contestant)
 """,
     "board_collapse": """
 select user_id, max_by(value, event_id) as secs from events group by user_id
 """,
     "board_ranked": """
-select cast(row_number() over (order by secs, user_id) as bigint) as rnk, user_id, secs from base
+select cast(row_number() over (order by secs, contestant) as bigint) as rnk, contestant, secs from base
 """,
     "board_text": """
-select concat_ws(',', cast(user_id as string), printf('%.2f', secs)) as line from base
+select concat_ws(',', contestant, printf('%.2f', secs)) as line from base
 """,
     "latest_label": """
 select user_id, max(ts) as labeled_at from events where event_type = 'signup' group by user_id
@@ -95,8 +98,7 @@ from (select user_id, max(ts) as committed_at from events where event_type = 'vi
 left join (select user_id, max(ts) as labeled_at from events where event_type = 'signup' group by user_id) l on l.user_id = c.user_id
 """,
     "review_queue": """
-select user_id from (select user_id, list(distinct event_type) as tags from events where cast(ts as date) = date '2024-01-05' group by user_id) q
-where list_contains(tags,'purchase') and not coalesce(list_contains(tags,'error'), false)
+select number, user_id, day from pulls where list_contains(tags, 'purchase') and not list_contains(tags, 'error')
 """,
     "single_thread_subset": """
 select event_id, branch, secs from runs where branch in (select branch from runs r join events e on e.event_id = r.event_id where e.event_type = 'purchase' and e.value < 1)
@@ -114,8 +116,8 @@ select event_id, cast(json_extract_string(props,'$.k') as bigint) as k from even
 select event_id, case when value is null then 'no_result' when event_type = 'error' then 'run_failed' when value >= 300 then 'timeout' else 'ok' end as status from events
 """,
     "validate_diff": """
-select path, day, n, 'actual_only' as side from (select path,day,count(*) as n from visits group by path,day except select path,day,count(*) as n from visits where event_id % 997 <> 0 group by path,day) x
-union all select path, day, n, 'expected_only' as side from (select path,day,count(*) as n from visits where event_id % 997 <> 0 group by path,day except select path,day,count(*) as n from visits group by path,day) y
+select path, day, n, 'actual_only' as side from (select path,day,count(*) as n from visits group by path,day except select path,day,count(*) as n from visits where event_type <> 'error' group by path,day) x
+union all select path, day, n, 'expected_only' as side from (select path,day,count(*) as n from visits where event_type <> 'error' group by path,day except select path,day,count(*) as n from visits group by path,day) y
 """,
     "diff_ingest": """
 select split_part(body,',',2) as branch, cast(split_part(body,',',3) as double) as secs from (
@@ -137,5 +139,27 @@ select event_id, concat(strftime(ts,'%Y-%m-%dT%H:%M:%S'),'+00:00') as iso from e
 """,
     "lenient_number": """
 select event_id, coalesce(cast(nullif(regexp_extract(concat(cast(event_id as string), event_type),'^[0-9]+',0),'') as double),0.0) as num from events
+""",
+    "history_by_time": """
+select entry_day, b1, b2, b3 from (
+ select *, lag(b1) over (order by entry_day) as p1, lag(b2) over (order by entry_day) as p2, lag(b3) over (order by entry_day) as p3,
+   row_number() over (order by entry_day) as rn from (
+  select entry_day, min(b1) over (order by entry_day) as b1, min(b2) over (order by entry_day) as b2, min(b3) over (order by entry_day) as b3 from (
+   select r.ts as entry_day, min(case when f.rnk=1 then r.secs end) as b1, min(case when f.rnk=2 then r.secs end) as b2,
+     min(case when f.rnk=3 then r.secs end) as b3 from runs r join fin f on f.branch = r.branch group by r.ts) p) q) l
+where rn = 1 or b1 is distinct from p1 or b2 is distinct from p2 or b3 is distinct from p3
+""",
+    "daily_report_document": """
+select '{' || chr(10) || string_agg('    "' || replace(path, '/', '\\/') || '": {' || chr(10) || days || chr(10) || '    }', ',' || chr(10) order by path) || chr(10) || '}' as doc
+from (select path, string_agg('        "' || day || '": ' || n, ',' || chr(10) order by day) as days from (select path, day, count(*) as n from visits group by path, day) g group by path) p
+""",
+    "page_fetch": """
+select 10 * p + k as number, 't' || k as title from range(4) a(p), range(3) b(k)
+""",
+    "result_json": """
+select event_id, value as mean, value / 2 as least from events
+""",
+    "change_log": """
+select cast(user_id as varchar) as branch, value as secs, date_trunc('second', ts) as ts, cast(event_id as varchar) as hash, 1 as line_no from events
 """,
 }

@@ -30,6 +30,8 @@ def visits(spark: SparkSession, uris: DataFrame, rows: int | str = 1_000_000, se
     now = seed or int(time.time())
     dimension = numbered(uris)
     size = dimension.count()
+    if not size:
+        raise ValueError("no URI to draw from")
     pick = lambda stream, of, among: F.pmod(F.xxhash64(F.lit(now), F.lit(stream), of), F.lit(among))
     stamp = F.lit(now) - pick(3, pick(2, F.col("id"), POOL), SECONDS + 1)
     ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
