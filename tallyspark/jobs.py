@@ -10,7 +10,7 @@ from .sources import files, generate
 
 def parse(spark: SparkSession, log: str, target: str) -> int:
     """Counts a visit log's pages by day and writes the document to a local file; returns its number of paths."""
-    lines = files.write_file(visits.document_lines(visits.of_log(files.visit_log(spark, log))), target)
+    lines = files.write_file(visits.document_lines(visits.of_lines(spark.read.text(log))), target)
     return max(0, lines - 2)
 
 

@@ -21,6 +21,17 @@ def of_log(log: DataFrame) -> DataFrame:
     return daily(log.select("url", day_of(F.col("ts")).alias("day")))
 
 
+def of_lines(lines: DataFrame) -> DataFrame:
+    """Daily visits of `url,timestamp` lines (one column, timestamps of 25 characters). What stands before the time of day is counted
+    as bytes first: one short key a line, cut without a look at its characters. The counts are then dealt out by path, so that
+    neither the second sum nor gathering a path's days moves them again; a path has at most a row for each of its URLs and days."""
+    value = F.col(lines.columns[0])
+    cut = lambda at, size: F.expr(f"cast(substring(k, {at}, {size}) as string)")
+    keys = lines.where(F.octet_length(value) > 26).select(F.expr(f"substring(cast(`{lines.columns[0]}` as binary), 1, octet_length(`{lines.columns[0]}`) - 15)").alias("k"))
+    raw = keys.groupBy("k").agg(F.count("*").alias("n")).select(url_path(cut(1, "octet_length(k) - 11")).alias("path"), cut("octet_length(k) - 9", 10).alias("day"), "n")
+    return raw.repartition("path").groupBy("path", "day").agg(F.sum("n").alias("visits"))
+
+
 def entries(report: DataFrame) -> DataFrame:
     """path, entries: an array of (day, n) ascending by day. A path has at most one entry a day."""
     return report.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("day").cast("string").alias("day"), F.col("visits").alias("n")))).alias("entries"))
@@ -53,10 +64,8 @@ def document(report: DataFrame, order: DataFrame | None = None) -> DataFrame:
 
 def document_lines(report: DataFrame) -> DataFrame:
     """line: the document as sorted texts, without gathering it in a row: a bracket, a text for each path, a bracket."""
-    kept = stored(report, "report")
-    last = kept.agg(F.max("path")).first()[0]
-    text = F.when(F.col("path") == F.lit(last), F.col("block")).otherwise(F.concat("block", F.lit(",")))
-    lines = blocks(kept).select(F.lit(1).alias("part"), "path", text.alias("line"))
-    empty = last is None
-    ends = report.sparkSession.createDataFrame([(0, "", "[]")] if empty else [(0, "", "{"), (2, "", "}")], "part int, path string, line string")
+    rows = stored(blocks(report), "blocks")
+    last = rows.agg(F.max("path")).first()[0]
+    lines = rows.select(F.lit(1).alias("part"), "path", F.when(F.col("path") == F.lit(last), F.col("block")).otherwise(F.concat("block", F.lit(","))).alias("line"))
+    ends = report.sparkSession.createDataFrame([(0, "", "[]")] if last is None else [(0, "", "{"), (2, "", "}")], "part int, path string, line string")
     return lines.unionByName(ends).orderBy("part", "path").select("line")
