@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
@@ -36,11 +37,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Lowers the rows of the session's Arrow batches, for results that are computed after the operator has returned. A lower
+    setting of the user's stays."""
+    now = int(spark.conf.get(ARROW_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
     return spark
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of so many rows at most within the block; the session's setting is as before after it."""
+    old = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield spark
+    finally:
+        spark.conf.set(ARROW_ROWS, old)
+
+
+def apart(docs: DataFrame, names: set[str], *needed: str) -> tuple[DataFrame, bool]:
+    """docs, or if some column has one of the names, its rows as `row` beside the needed columns."""
+    if not names & {c.lower() for c in docs.columns}:
+        return docs, False
+    return docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), *needed), True
+
+
 def trimmed() -> None:
     """Gives a worker's free memory back: workers stay for later tasks."""
     gc.collect()

@@ -23,7 +23,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, emit, field, prepare, skew_join, stored, table
+from .common import append, batches_of, emit, field, skew_join, stored, table
 
 #: The usual notices of each licence.
 TEMPLATES = {
@@ -167,28 +167,32 @@ def frequencies(docs: DataFrame, known: set[bytes], text: str = "text") -> tuple
 def scan(docs: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """docs without the text but with licenses (of its lines), file_license (of the whole text), similarity, inherited (of the nearest
     declaring directory) and inherited_from. Own templates come without the full texts, unless `texts` has some."""
-    prepare(docs.sparkSession)
     texts = texts if texts is not None else {} if templates else full_texts()
     templates = templates or TEMPLATES
-    frequency, n = frequencies(docs, _vocabulary(templates) | _vocabulary(texts), text)
+    with batches_of(docs.sparkSession):
+        frequency, n = frequencies(docs, _vocabulary(templates) | _vocabulary(texts), text)
     held = docs.sparkSession.sparkContext.broadcast(Scanner(templates, texts, frequency, n, least))
 
     def make():
         scanner = held.value
 
         def run(b):
-            got = [scanner.scan(t or b"") for t in b.column(b.schema.names.index("_bytes")).to_pylist()]
+            got = [scanner.scan(t or b"") for t in b.column(0).to_pylist()]
             return {"licenses": [x[0] for x in got], "file_license": [x[1] for x in got], "similarity": [round(x[2], 6) for x in got]}
 
         return run
 
+    results = {"licenses", "file_license", "similarity", "directory", "inherited", "inherited_from"}
     fields = [field("licenses", "array<string>"), field("file_license", "string"), field("similarity", "double")]
-    found = append(docs.select(*[c for c in docs.columns if c != text and c not in ("directory", "inherited", "inherited_from")], F.col(text).cast("binary").alias("_bytes")), fields, make).drop("_bytes")
-    found = stored(found.withColumn("directory", _parent(F.coalesce(F.col(path), F.lit("")))), "licenses")
+    others = F.struct(*(f"`{c}`" for c in docs.columns if c != text and c not in results)).alias("row")
+    found = append(docs.select(F.col(text).cast("binary").alias("bytes"), others, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")), fields, make)
+    with batches_of(docs.sparkSession):
+        found = stored(found.select("row", "licenses", "file_license", "similarity", _parent(F.col("path")).alias("directory")), "licenses")
     declared = found.where("file_license is not null").groupBy("directory").agg(F.array_join(F.array_sort(F.collect_set("file_license")), ",").alias("inherited"))
     ancestors = found.select("directory").distinct().withColumn("up", F.explode(_ancestors(F.col("directory"))))
     near = ancestors.join(declared.withColumnRenamed("directory", "up"), "up").groupBy("directory").agg(F.max(F.struct(F.length("up").alias("n"), F.col("up").alias("inherited_from"), "inherited")).alias("m"))
-    return skew_join(found, stored(near.select("directory", "m.inherited", "m.inherited_from"), "declared"), "directory", "left")
+    out = skew_join(found, stored(near.select("directory", "m.inherited", "m.inherited_from"), "declared"), "directory", "left")
+    return out.select("row.*", "licenses", "file_license", "similarity", "directory", "inherited", "inherited_from")
 
 
 def _parent(path: Column) -> Column:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, SLICE, emit, hashed_words, prepare, stored, table
+from .common import MIX, SLICE, batches_of, emit, hashed_words, stored, table
 
 CHUNK_TOKENS, WORD_SHARD, PAIR_SHARD, HOT, SUBS = 1_000_000, 500_000, 1_000_000, 4, 16
 GRID = 20.0  # codes for each power of ten: 255 of them reach down to 10 ** -12.7
@@ -265,17 +265,17 @@ def _place(contexts: np.ndarray, words: np.ndarray, uses: np.ndarray, shards: in
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out=None, chunk_tokens: int = CHUNK_TOKENS, model_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a condition; its rows don't teach. The
     trie's shards are written to model_path, if given."""
-    spark = prepare(docs.sparkSession)
+    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2 if held_out is None else held_out, F.lit(False))
     made = _chunks(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("binary"), held), chunk_tokens)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"lm_chunks_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # rows are large from here on
+    with batches_of(spark):
+        made.write.bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
     try:
-        return _scored(spark, spark.table(name), model_path)
+        with batches_of(spark, 1):  # rows are large from here on
+            return _scored(spark, spark.table(name), model_path)
     finally:
-        prepare(spark)
         spark.sql(f"drop table {name}")
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, append, emit, field, hashed_words, mixed, prepare, skew_join, stored, table
+from .common import MIX, append, batches_of, emit, field, hashed_words, mixed, prepare, skew_join, stored, table
 
 CHUNKS, WIDE, ERRORS, BLOCK, BLOCK_BYTES = 10, 5, 1, 1000, 4 << 20
 SYMBOLS = CHUNKS * WIDE
@@ -264,7 +264,12 @@ def components(links: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, rk, rk2, n_shingles, same, component (null for empty sets), least (smallest doc_id of the component) for every row of
     docs (doc_id, text as bytes, rk, rk2)."""
-    sc = prepare(docs.sparkSession).sparkContext
+    with batches_of(docs.sparkSession):
+        return _searched_groups(docs, width, percent)
+
+
+def _searched_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    sc = docs.sparkSession.sparkContext
     every = stored(_sketches(docs.select("doc_id", "rk", "rk2", "text"), width), "sketches")
     classes = stored(every.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.min("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "classes")
     sigs = classes.select("id", "sig")
@@ -291,9 +296,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     near = stored(_near(stars, sigs), "near")
     wanted = lambda ids: stored(classes.select("id", "same", "rk").join(ids, "id", "left_semi"), "ids")
     sets = stored(_sets(docs, wanted(near.select(F.explode(F.array("a", "b")).alias("id"))), width), "sets")
-    prepare(docs.sparkSession, 50)  # a row holds two sets
-    links = stored(_confirmed(near, sets, percent), "confirmed")
-    prepare(docs.sparkSession)
+    with batches_of(docs.sparkSession, 50):  # a row holds two sets
+        links = stored(_confirmed(near, sets, percent), "confirmed")
     first = components(links)
 
     # buckets of three or more that still hold several components
@@ -309,9 +313,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         left = stored(skew_join(left, found.select("id", F.expr("octet_length(shingles) / 8").cast("long").alias("size")), "id"), "open-rows")
         dealt = stored(_blocks(left), "dealt")
         full = skew_join(dealt, found, "id").groupBy("key", "pick", "j", "m").agg(F.collect_list(F.struct("id", "component", "side", "sig", "shingles")).alias("rows"))
-        prepare(docs.sparkSession, 1)
-        more = stored(emit(full.select("pick", "rows"), "a long, b long", lambda: _searched(percent)).distinct(), "more")
-        prepare(docs.sparkSession)
+        with batches_of(docs.sparkSession, 1):
+            more = stored(emit(full.select("pick", "rows"), "a long, b long", lambda: _searched(percent)).distinct(), "more")
         first = components(links.unionByName(more))
     told = stored(classes.select("id", "same", "least").join(first.select(F.col("node").alias("id"), "component"), "id", "left").select("same", "least", F.coalesce("component", "id").alias("component")), "told")
     told = stored(skew_join(told.select("same", "component"), told.groupBy("component").agg(F.min("least").alias("least")), "component"), "told")
@@ -339,7 +342,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     best = stored(best.select("component", F.col("w.rk").alias("wk"), F.col("w.rk2").alias("wk2")), "stays")
     lost = stored(skew_join(told, best, "component").where("rk <> wk or rk2 <> wk2").select("rk", "rk2").distinct(), "going")
     again = stored(told.groupBy("rk", "rk2").agg(F.count("*").alias("n")).where("n > 1").select("rk", "rk2"), "repeated")
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(lost.select("rk").unionAll(again.select("rk")), "rk"))
+    bits = prepare(docs.sparkSession).sparkContext.broadcast(_bitmap(lost.select("rk").unionAll(again.select("rk")), "rk"))
 
     def make():
         return lambda b: {"maybe": _hit(bits.value, b.column(b.schema.names.index("rk")).to_numpy())}

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, emit, field, prepare, table
+from .common import append, batches_of, emit, field, prepare, table
 
 BITS, ROWS, LEAST_DF, PENALTY, PASSES, GRADES, HEADS = 22, 6000, 5, 5.0, 20, 3, (4, 5, 6, 7, 8)
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
@@ -116,7 +116,6 @@ def fit(spots: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY, p
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = ROWS) -> Model:
     """A model from at most `rows` labelled rows; their hashed features reach the driver, not their texts."""
-    prepare(docs.sparkSession)
     graded = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select(F.col(doc_id).alias("doc_id"), F.when(F.col("toxic") != 0, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
     ids = docs.select(F.col(doc_id).alias("doc_id")).distinct()  # labels without a document push none out
     some = graded.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
@@ -129,24 +128,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
         return run
 
-    got = emit(met, "doc_id long, grade int, spots binary", make).orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "spots").limit(rows).collect()
+    with batches_of(docs.sparkSession):
+        got = emit(met, "doc_id long, grade int, spots binary", make).orderBy(F.xxhash64("doc_id"), "doc_id", "grade", "spots").limit(rows).collect()
     return fit([np.frombuffer(r["spots"], "<i4") for r in got], np.array([r["grade"] for r in got], dtype=np.int64))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """docs with expected_grade, p_fair (grade 1 or more), p_good (grade 2) and accepted (p_good at least `least`)."""
-    told = docs.sparkSession.sparkContext.broadcast((model.weights, model.cuts))
+    told = prepare(docs.sparkSession).sparkContext.broadcast((model.weights, model.cuts))
+
+    hidden = next(n for n in ("_bytes", "_bytes_", "_bytes__") if n not in docs.columns)
 
     def make():
         m = Model(*told.value)
 
         def run(b):
-            tails = [m.tails(x or b"") for x in b.column(b.schema.names.index("_bytes")).to_pylist()]
+            tails = [m.tails(x or b"") for x in b.column(b.schema.names.index(hidden)).to_pylist()]
             return {"expected_grade": [sum(x) for x in tails], "p_fair": [x[0] for x in tails], "p_good": [x[-1] for x in tails], "accepted": [x[-1] >= least for x in tails]}
 
         return run
 
-    return append(docs.withColumn("_bytes", F.col(text).cast("binary")), [field(*x) for x in RESULTS.items()], make).drop("_bytes")
+    return append(docs.withColumn(hidden, F.col(text).cast("binary")), [field(*x) for x in RESULTS.items()], make).drop(hidden)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, emit, prepare, stored, table
+from .common import SLICE, batches_of, emit, stored, table
 
 MAGIC, STEP, FILE_TOKENS, FILE_DOCS = b"WVMX", 512, 2_000_000, 50_000
 #: Classes of bytes: ASCII letters and digits; punctuation marks; white space but for spaces and newlines, and other control
@@ -304,7 +304,6 @@ def gathered(batches, limit: int = STRIP):
 
 def write_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, file_tokens: int = FILE_TOKENS, partitions: int | None = None) -> DataFrame:
     """file_id (ascending with doc_id), n_tokens, doc_ids, lengths, blob: one row a file, stored."""
-    prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
@@ -346,7 +345,8 @@ def write_files(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
 
         return run
 
-    return stored(emit(rows, "file_id long, n_tokens long, doc_ids array<long>, lengths array<int>, blob binary", make), "wavelet")
+    with batches_of(docs.sparkSession):
+        return stored(emit(rows, "file_id long, n_tokens long, doc_ids array<long>, lengths array<int>, blob binary", make), "wavelet")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -369,12 +369,8 @@ def read_files(files: DataFrame) -> DataFrame:
 
         return run
 
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
-    try:
+    with batches_of(files.sparkSession, 1):  # a row is a file
         back = stored(emit(files.select("file_id", "doc_ids", "lengths", "blob"), "file_id long, doc_id long, local long, n_tokens long, ids_crc32 long", make), "wavelet-rows")
-    finally:
-        prepare(spark)
     return back.join(base, "file_id").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

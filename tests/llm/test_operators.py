@@ -469,3 +469,134 @@ def test_near_odd_rows(spark, odd, none):
     left = sorted(((x["doc_id"] or 0, x["text"]) for x in kept.collect()), key=repr)
     assert left == sorted([(1, t), (1, u), (0, "lone text of no id at all"), (3, ""), (3, ""), (4, None)], key=repr)
     assert sorted((x["doc_id"] or 0) for x in near.deduplicate(odd).collect()) == [1, 2, 3, 4, 6, 7] and near.deduplicate(none).count() == 0
+
+
+@pytest.fixture(scope="session")
+def clashing(spark, odd):
+    """The odd rows with columns named like results and internal columns."""
+    names = ["ids", "n_pieces", "ids_crc32", "decoded", "bytes", "_bytes", "h", "shard", "n_words_", "hits", "items", "contaminated", "accepted", "p_good", "base", "weak", "spans", "row", "row_key", "owner_key", "licenses", "directory", "inherited", "chunk", "start", "component_id", "kept", "same", "sig", "maybe", "rk", "_doc", "_hit", "path"]
+    return odd.withColumns({n: F.lit(f"own {n}") for n in names})
+
+
+def test_odd_rows_everywhere(spark, clashing, none):
+    """Nulls, empty and long texts, repeated rows and clashing names: values are those that single rows have on their own."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = [(r["doc_id"], r["text"]) for r in clashing.collect()]
+    n = len(rows)
+    arrow = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    # 1
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = pieces.digest(pieces.decode(pieces.encode(clashing, path), path)).select("doc_id", "text", "ids", "decoded", "n_pieces", "h").collect()
+    assert len(got) == n and all(list(r["ids"]) == sp.encode(r["text"] or "") and r["decoded"] == (r["text"] or "") and r["n_pieces"] == len(r["ids"]) and r["h"] == "own h" for r in got)
+    # 2
+    assert sorted(r["bytes"] for r in sharding.plan(clashing, limit=50).collect()) == sorted(len((t or "").encode()) for _, t in rows)
+    # 3
+    bench = spark.createDataFrame([(1, "one two"), (2, None)], "item_id long, text string")
+    got = decontaminate.decontaminate(clashing, bench)
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["contaminated"]) for r in got.collect()) == sorted((i or 0, len(words(t)), words(t) == ["one", "two"]) for i, t in rows)
+    # 4
+    labels = spark.createDataFrame([(k, k % 2, 0, "x") for k in (1, 2, 3, 4, 6, 7, 999)] + [(3, None, 0, "y"), (None, 1, 1, "z")], "doc_id long, quality int, toxic int, accepted string")
+    model = quality.train(clashing, labels)
+    got = quality.classify(clashing, model).select("text", "p_fair", "p_good", "accepted", "expected_grade", "row").collect()
+    assert len(got) == n and all(abs(r["p_good"] - model.tails((r["text"] or "").encode())[-1]) < 1e-9 and r["accepted"] == (r["p_good"] >= 0.5) and r["row"] == "own row" for r in got)
+    # 6
+    got = secrets.scan(clashing, keep=["doc_id", "text"]).collect()
+    assert len(got) == n and all(",".join(f"{secrets.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in r["base"]) == base_spans(r["text"] or "") for r in got)
+    red = secrets.redact(clashing)
+    assert red.columns == clashing.columns and sum("[SECRET]" in (r["text"] or "") for r in red.collect()) == 2
+    # 7
+    got = licenses.scan(clashing.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
+    assert got.count() == n and got.where("size(licenses) > 0 or inherited is not null").count() == 0 and {"h", "row", "rk"} <= set(got.columns)
+    # 8
+    got = lm.score(clashing).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i or 0, len((t or "").encode().split()) + 1) for i, t in rows)
+    # 9
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    back = wavelet.read_files(wavelet.write_files(clashing, public_tokenizers.path("byte_bpe_50k.json"), file_tokens=100)).collect()
+    want = {(i or 0, zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in rows}
+    assert len(back) == n and {(r["doc_id"] or 0, r["ids_crc32"]) for r in back} == want
+    back.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in back] == np.cumsum([0] + [r["n_tokens"] for r in back])[:-1].tolist() and [r["doc_id"] or 0 for r in back] == sorted(i or 0 for i, _ in rows)
+    # 10
+    assert near.groups(clashing).count() == n and near.deduplicate(clashing).columns == clashing.columns
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("10000", "500")
+    # 5
+    v = spark.createDataFrame([(0, [1.0, 2.0], "x"), (0, [1.0, 2.0], "x"), (1, [2.0, 1.0], "y"), (None, [1.0, 1.0], "z"), (50, None, None), (100, [0.5, 0.5], "w")], "vec_id long, embedding array<float>, score string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(v, F.col("vec_id") % 50 == 0, k=2).collect())
+    assert got == sorted([(0, 1, 1, 262144), (0, 2, 100, 98304)] * 2 + [(100, 1, 0, 98304), (100, 2, 0, 98304)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+
+
+def test_quality_by_hand(spark):
+    """Scores from weights and thresholds by a plain loop, and a fit whose loss has no better thresholds near."""
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.classify(docs, model).select("doc_id", "p_fair", "p_good", "expected_grade").collect():
+        total = sum(model.weights.get(zlib.crc32(t) % (1 << quality.BITS), 0.0) for t in quality.tokens(texts[r["doc_id"]].encode()))
+        tails = [1 / (1 + math.exp(c - total)) for c in model.cuts]
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip((r["p_fair"], r["p_good"], r["expected_grade"]), (*tails, sum(tails)), strict=True))
+    graded = {r["doc_id"]: 0 if r["toxic"] else 1 if r["quality"] == 0 else 2 for r in labels.collect()}
+
+    def loss(weights, cuts):
+        out = 0.0
+        for i, g in graded.items():
+            f = sum(weights.get(quality.spot(t), 0.0) for t in quality.tokens(texts[i].encode()))
+            p = [1.0, *(1 / (1 + math.exp(c - f)) for c in cuts), 0.0]
+            out -= math.log(max(1e-12, p[g] - p[g + 1]))
+        return out / len(graded)
+
+    share = [sum(g >= k for g in graded.values()) / len(graded) for k in (1, 2)]
+    assert loss(model.weights, model.cuts) < 0.6 * loss({}, [-math.log(s / (1 - s)) for s in share])
+    # labels without a document push none out of the sample
+    more = labels.select("doc_id", "quality", "toxic").unionByName(spark.range(10_000, 30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert quality.train(docs, more, rows=200).weights == quality.train(docs, labels, rows=200).weights
+
+
+def test_licenses_by_hand(spark):
+    """Cosines of lines by a plain loop, and inheritance by walking up the planted directories."""
+    r = random.Random(3)
+    notices = [x for n in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[n]]
+    names = [n for n in sorted(licenses.TEMPLATES) for _ in licenses.TEMPLATES[n]]
+    filler = [f"w{k}" for k in range(40)] + ["license", "the", "of", "version"]
+    rows = []
+    for k in range(120):
+        lines = [" ".join(r.choices(filler, k=6)) for _ in range(3)]
+        if k % 3 == 0:
+            w = r.choice(notices).split()
+            lines.insert(1, " ".join(x for x in w if r.random() > r.choice([0, 0.2, 0.5])))
+        if k % 11 == 0:
+            lines = [r.choice(notices)]
+        rows.append((k, "\n".join(lines), "/".join(r.choices("abc", k=r.randrange(1, 4))) + f"/f{k}"))
+    got = {x["doc_id"]: x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), templates=licenses.TEMPLATES).collect()}
+    bags = {i: licenses.terms(t.lower().encode()) for i, t, _ in rows}
+    vocabulary = set().union(*(licenses.terms(x.encode()) for x in notices))
+    idf = lambda t: math.log((len(rows) + 1) / (sum(t in b for b in bags.values()) + 1)) + 1 if t in vocabulary else math.log((len(rows) + 1) / 2) + 1
+    weigh = lambda bag: {t: c * idf(t) for t, c in bag.items()}
+    made = [weigh(licenses.terms(x.encode())) for x in notices]
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+
+    def best(text):
+        v = weigh(licenses.terms(text.lower().encode()))
+        scores = [sum(x * m.get(t, 0) for t, x in v.items()) / (size(v) * size(m)) if v else 0.0 for m in made]
+        top = max(scores)
+        return names[next(k for k, x in enumerate(scores) if x > top - 1e-12)] if top >= licenses.LEAST else None
+
+    whole = {i: best(t) for i, t, _ in rows}
+    declared = collections.defaultdict(set)
+    for i, _, p in rows:
+        if whole[i]:
+            declared[p.rpartition("/")[0]].add(whole[i])
+    for i, t, p in rows:
+        assert set(got[i]["licenses"]) == {x for line in t.split("\n") if (x := best(line))}, t
+        assert got[i]["file_license"] == whole[i]
+        up = p.rpartition("/")[0]
+        while up and up not in declared:
+            up = up.rpartition("/")[0]
+        assert got[i]["inherited"] == (",".join(sorted(declared[up])) if up in declared else None)
+    assert sum(x is not None for x in whole.values()) > 5 and sum(bool(x["licenses"]) for x in got.values()) > 15
