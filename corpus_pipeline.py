@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each of which works on all that its predecessor kept."""
+"""From raw documents to token ids: five stages, each of which works on all that its predecessor kept.
+
+Defined results: a null or empty text is no near copy, holds no benchmark window and no secret, and has no ids; the classifier judges
+it by its shape. Of rows that repeat or share a text one stays, that of the smallest doc_id, nulls last. Other columns come through
+all stages but the last as they are, whatever their names, apart from n_chars, which follows a redacted text. An empty table gives
+no rows; without labels of two grades the classifier accepts everything."""
 
 from __future__ import annotations
 
@@ -6,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, near, pieces, quality, secrets
-from tallyspark.llm.common import stored, table
+from tallyspark.llm.common import apart, stored, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is trained on the labelled ones among them."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).where("accepted").select(*docs.columns)
+    model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    rows, whole = apart(docs, {"row", *quality.RESULTS}, "text")
+    return quality.classify(rows, model).where("accepted").select("row.*" if whole else "*").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +28,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows make less than a twentieth."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    rows, whole = apart(docs, {"row", "n_words", "n_hit", "hits", "items", "contaminated"}, "text")
+    return decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark")).where("not contaminated").select("row.*" if whole else "*").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +42,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text's ids, with their number and checksum."""
     import public_tokenizers
 
-    out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.digest(out).select("doc_id", "lang", "source", "n_pieces", "ids_crc32", "ids")
 
 
