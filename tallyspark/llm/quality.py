@@ -13,6 +13,7 @@ results' names are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -29,21 +30,30 @@ LETTERS, CAPITALS, DIGITS, BLANKS, BEYOND = bytes(range(97, 123)), bytes(range(6
 RESULTS = {"expected_grade": "double", "p_fair": "double", "p_good": "double", "accepted": "boolean"}
 
 
-def tokens(text: bytes) -> set[bytes]:
-    """Distinct features as bytes; shapes start with a zero byte, heads of longer words with a one."""
-    found = set(TOKEN.findall(text.lower()))
-    for k in HEADS:
-        found |= {b"\1" + x[:k] for x in found if len(x) > k and x[0] > 1}
+def heads(word: bytes) -> list[bytes]:
+    """The first few bytes of longer words, as features."""
+    return [b"\1" + word[:k] for k in HEADS if len(word) > k and word[0] > 1]
+
+
+def shapes(text: bytes) -> list[bytes]:
+    """The text's shape, in bins, as features."""
     n = max(1, len(text))
     count = lambda kind: len(text) - len(text.translate(None, kind))
     capitals, digits = count(CAPITALS), count(DIGITS)
     signs = len(text) - count(CAPITALS + DIGITS + LETTERS + BLANKS + BEYOND)
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeated = 1 - len(set(lines)) / len(lines) if lines else 0
-    commonest = Counter(text.split()).most_common(1)
-    w = max(1, len(text.split()))
-    shape = (("capitals", capitals / n), ("digits", digits / n), ("signs", signs / n), ("lines", repeated), ("top", commonest[0][1] / w if commonest else 0), ("width", len(text) / max(1, len(lines)) / 1000), ("size", w / 2000))
-    return found | {b"\0%s %d" % (name.encode(), int(min(20, 2 * (share * 50) ** 0.5))) for name, share in shape}
+    parts = text.split()
+    commonest = max(Counter(parts).values(), default=0)
+    w = max(1, len(parts))
+    shape = (("capitals", capitals / n), ("digits", digits / n), ("signs", signs / n), ("lines", repeated), ("top", commonest / w), ("width", len(text) / max(1, len(lines)) / 1000), ("size", w / 2000))
+    return [b"\0%s %d" % (name.encode(), int(min(20, 2 * (share * 50) ** 0.5))) for name, share in shape]
+
+
+def tokens(text: bytes) -> set[bytes]:
+    """Distinct features as bytes; shapes start with a zero byte, heads of longer words with a one."""
+    found = set(TOKEN.findall(text.lower()))
+    return found.union(shapes(text), *map(heads, found))
 
 
 def spot(token: bytes) -> int:
@@ -59,18 +69,23 @@ class Model:
 
     def __init__(self, weights: dict[int, float], cuts: list[float]):
         self.weights, self.cuts = weights, cuts
-        self.known: dict[bytes, float] = {}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def _weighing(self, features: list[bytes]) -> tuple[int, ...]:
+        return tuple({x for f in features if (x := spot(f)) in self.weights})
 
     def score(self, text: bytes) -> float:
-        known, total = self.known, 0.0
+        """The sum of the weights of the text's distinct hashed features. Of a word, only the features that weigh something are
+        remembered: the penalty leaves few."""
+        known, found = self.known, set(self._weighing(shapes(text)))
         if len(known) > 500_000:
             known.clear()
-        for t in tokens(text):
-            w = known.get(t)
-            if w is None:
-                w = known[t] = self.weights.get(spot(t), 0.0)
-            total += w
-        return total
+        for t in set(TOKEN.findall(text.lower())):
+            if (x := known.get(t)) is None:
+                x = known[t] = self._weighing([t, *heads(t)])
+            if x:
+                found.update(x)
+        return math.fsum(self.weights[x] for x in found)
 
     def tails(self, text: bytes) -> list[float]:
         """P(grade >= 1), P(grade >= 2), ..."""

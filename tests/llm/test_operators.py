@@ -538,7 +538,7 @@ def test_quality_by_hand(spark):
     model = quality.train(docs, labels)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in quality.classify(docs, model).select("doc_id", "p_fair", "p_good", "expected_grade").collect():
-        total = sum(model.weights.get(zlib.crc32(t) % (1 << quality.BITS), 0.0) for t in quality.tokens(texts[r["doc_id"]].encode()))
+        total = sum(model.weights.get(x, 0.0) for x in {zlib.crc32(t) % (1 << quality.BITS) for t in quality.tokens(texts[r["doc_id"]].encode())})
         tails = [1 / (1 + math.exp(c - total)) for c in model.cuts]
         assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-9) for a, b in zip((r["p_fair"], r["p_good"], r["expected_grade"]), (*tails, sum(tails)), strict=True))
     graded = {r["doc_id"]: 0 if r["toxic"] else 1 if r["quality"] == 0 else 2 for r in labels.collect()}
