@@ -58,7 +58,8 @@ def _assigned(docs: DataFrame, limit: int, key: str, text: str, whole: bool) ->
         )
         nodes = up.groupBy("d", "a", "b").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
         fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1) | (F.lit(high == 120) & (F.col("d") == 120))
-        leaf = up.drop("bytes", "n").hint("merge").join(nodes.where(fits), ["d", "a", "b"]).groupBy("cell_a", "cell_b").agg(F.min(F.struct("d", "a", "b", "shard_bytes")).alias("leaf"))
+        nodes = stored(nodes.where(fits), "shard-nodes")  # so that both sides of the join come from shuffles, which Spark can split
+        leaf = up.drop("bytes", "n").hint("merge").join(nodes, ["d", "a", "b"]).groupBy("cell_a", "cell_b").agg(F.min(F.struct("d", "a", "b", "shard_bytes")).alias("leaf"))
         named = F.concat_ws("-", "cell_a", "cell_b").alias("cell")
         leaf = stored(cells.select("cell_a", "cell_b").hint("merge").join(leaf, ["cell_a", "cell_b"], "left").select(named, "leaf"), "shard-directory")
         a, b = _prefix(F.col("d"))
