@@ -37,7 +37,7 @@ from .common import append, field, long, prepare, table
 SPACE = "▁"
 MEMORY = 300_000
 #: Longest part that is composed together with others, characters of texts that are encoded together, and cached pairs.
-SHORT, TOGETHER, CACHE = 64, 2_000_000, 1 << 21
+SHORT, TOGETHER, CACHE = 64, 700_000, 1 << 21
 CODES = 0x110000
 
 
@@ -186,7 +186,7 @@ class Transducer:
             return True
         key = (a, b)
         if (x := self.pairs.get(key)) is None:
-            if len(self.pairs) > 2 * MEMORY:
+            if len(self.pairs) > MEMORY // 2:
                 self.pairs.clear()
             x = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
         return x
@@ -413,8 +413,8 @@ def compile_model(path: str) -> Transducer:
     return _compiled[path]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with the ids of the text."""
+def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", digested: bool = False) -> DataFrame:
+    """docs with the ids of the text, and if asked with the columns of digest(), made in the same pass."""
     prepare(docs.sparkSession)
 
     def make():
@@ -423,11 +423,12 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
         def run(b):
             made = t.encoded_many([x or "" for x in b.column(b.schema.names.index(text)).to_pylist()])
             at = np.cumsum([0, *(len(x) // 4 for x in made)]).astype("<i4")
-            return {ids: pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), "<i4")))}
+            out = {ids: pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(made), "<i4")))}
+            return out | {"n_pieces": np.diff(at).astype(np.int64), "ids_crc32": [zlib.crc32(x) for x in made]}
 
         return run
 
-    return append(docs, [field(ids, "array<int>")], make)
+    return append(docs, [field(ids, "array<int>"), *([long("n_pieces"), long("ids_crc32")] if digested else [])], make)
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -465,6 +466,6 @@ def op1_pieces(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, digested=True), model)
     shown = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return digest(out).select("doc_id", "n_pieces", "ids_crc32", (F.col("decoded") == shown).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_pieces", "ids_crc32", (F.col("decoded") == shown).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"))

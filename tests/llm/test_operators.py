@@ -491,6 +491,8 @@ def test_odd_rows_everywhere(spark, clashing, none):
     # 1
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    both = [sorted(tuple(r) for r in x.select("ids_crc32", "n_pieces").collect()) for x in (pieces.digest(pieces.encode(clashing, path)), pieces.encode(clashing, path, digested=True))]
+    assert both[0] == both[1]
     got = pieces.digest(pieces.decode(pieces.encode(clashing, path), path)).select("doc_id", "text", "ids", "decoded", "n_pieces", "h").collect()
     assert len(got) == n and all(list(r["ids"]) == sp.encode(r["text"] or "") and r["decoded"] == (r["text"] or "") and r["n_pieces"] == len(r["ids"]) and r["h"] == "own h" for r in got)
     # 2
