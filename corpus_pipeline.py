@@ -42,8 +42,8 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the text's ids, with their number and checksum."""
     import public_tokenizers
 
-    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.digest(out).select("doc_id", "lang", "source", "n_pieces", "ids_crc32", "ids")
+    out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), digested=True)
+    return out.select("doc_id", "lang", "source", "n_pieces", "ids_crc32", "ids")
 
 
 STAGES = [("quality", classify), ("near_dedup", deduplicate), ("decontaminate", decontaminated), ("secrets", redacted), ("pieces", tokenised)]
