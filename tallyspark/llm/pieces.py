@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import append, field, long, prepare, table
 
 SPACE = "▁"
-MEMORY = 300_000
+MEMORY = 200_000
 #: Longest part that is composed together with others, characters of texts that are encoded together, and cached pairs.
-SHORT, TOGETHER, CACHE = 64, 700_000, 1 << 21
+SHORT, TOGETHER, CACHE = 64, 300_000, 1 << 20
 CODES = 0x110000
 
 
@@ -222,9 +222,9 @@ class Transducer:
         n = self.n
         self.names = dict(zip(self.arcs.values(), self.arcs, strict=True))
         letters = sorted({c for x in self.arcs for c in x})
-        self.classes = np.zeros(CODES, dtype=np.int64)
+        self.classes = np.zeros(CODES, dtype=np.int32)
         self.classes[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.single = np.arange(n, n + CODES, dtype=np.int64)  # the piece of a character, or n + its code
+        self.single = np.arange(n, n + CODES, dtype=np.int32)  # the piece of a character, or n + its code
         one = [x for x in self.arcs if len(x) == 1]
         self.single[[ord(x) for x in one]] = [self.arcs[x] for x in one]
         self.width = len(letters) + 1
@@ -239,7 +239,7 @@ class Transducer:
                 node = steps[key]
             ends[node] = piece
         self.ends = np.array(ends, dtype=np.int64)
-        self.lengths = np.ones(n + CODES + 1, dtype=np.int64)
+        self.lengths = np.ones(n + CODES + 1, dtype=np.int16)
         self.lengths[list(self.names)] = [len(x) for x in self.names.values()]
         self.shift = np.uint64(64 - max(10, (4 * len(steps)).bit_length()))
         self.slots = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64)
