@@ -32,6 +32,8 @@ WORDS = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 i
 WINDOW = 13
 #: Benchmark words in one broadcast block; further items go to further blocks.
 BLOCK_WORDS = 2_000_000
+#: Candidates that are verified together, some 50 bytes each; a frequent prefix token of many windows makes many.
+CANDIDATES = 1_000_000
 
 
 class Index(NamedTuple):
@@ -131,8 +133,18 @@ def matches(found: Index, x: np.ndarray, ends: np.ndarray):
         return (np.zeros(0, np.int64),) * 4
     at = np.minimum(np.searchsorted(found.tokens, x), len(found.tokens) - 1)
     p = np.flatnonzero(found.tokens[at] == x)
-    n = found.first[at[p] + 1] - found.first[at[p]]
-    window = np.repeat(found.first[at[p]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    first, n = found.first[at[p]], found.first[at[p] + 1] - found.first[at[p]]
+    upto, k, made = np.cumsum(n), 0, []
+    while k < len(p):
+        stop = max(k + 1, int(np.searchsorted(upto, upto[k] - n[k] + CANDIDATES, "right")))
+        made.append(_verified(found, x, ends, p[k:stop], first[k:stop], n[k:stop]))
+        k = stop
+    return tuple(np.concatenate(c) for c in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 4
+
+
+def _verified(found: Index, x: np.ndarray, ends: np.ndarray, p: np.ndarray, first: np.ndarray, n: np.ndarray):
+    """Of the candidates, which are the n windows from `first` on at each place p of a prefix token, those that occur there."""
+    window = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     p = np.repeat(p, n)
     doc = np.searchsorted(ends, p, "right")
     a = p - found.place[window]

@@ -70,6 +70,23 @@ def test_decontaminate(spark, texts, odd, none):
     assert decontaminate.decontaminate(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_frequent_prefix_tokens(monkeypatch):
+    """Few words that make many windows each: all occurrences, whatever the number of candidates verified together."""
+    r = random.Random(3)
+    make = lambda n: " ".join(r.choices("abc", k=n)).encode()
+    hashed = lambda t: decontaminate.word_hashes(np.frombuffer(t, np.uint8), np.array([len(t)]), decontaminate.WORDS)[0]
+    items, docs = [make(r.randrange(1, 40)) for _ in range(60)], [make(r.randrange(1, 200)) for _ in range(30)]
+    known = np.unique(hashed(b"a b c"))
+    found = decontaminate.index([(str(k), hashed(t)) for k, t in enumerate(items)], known, np.array([3, 1, 2]), 4)
+    windows = {tuple(w[k : k + 4]) for w in (t.split() for t in items) for k in range(max(1, len(w) - 3))}
+    want = sorted((d, k, k + n) for d, w in enumerate(t.split() for t in docs) for n in (1, 2, 3, 4) for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows)
+    x, ends = np.concatenate([hashed(t) for t in docs]), np.cumsum([len(t.split()) for t in docs])
+    for size in (1, 7, 1000, 10**6):
+        monkeypatch.setattr(decontaminate, "CANDIDATES", size)
+        doc, a, e, _ = decontaminate.matches(found, x, ends)
+        assert sorted(zip(doc.tolist(), a.tolist(), e.tolist(), strict=True)) == want
+
+
 def test_topk(spark):
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{D}/embeddings.parquet'")
